@@ -7,21 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexora.llm import perspectives, rule_cascade, slot_sharding, url_models
+from lexora.llm import matrix_bpe, packing, perspectives, rule_cascade, slot_sharding, url_models, warc_zip
 from lexora.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_models.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _pattern())
+
+
 def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rule_cascade.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix_bpe.digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), _pattern())
+
+
 def op9_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = slot_sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
@@ -32,7 +56,7 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_url_models, op6_rule_cascade, op9_slot_sharding, op10_perspectives)}
+    return {f.__name__: f for f in (op1_warc_zip, op2_url_models, op3_packing, op6_rule_cascade, op8_matrix_bpe, op9_slot_sharding, op10_perspectives)}
 
 
 def oracle_sql() -> dict[str, str]:
