@@ -112,10 +112,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x, np.array([r["quality"] for r in got]))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score; all columns stay (one named score is replaced)."""
-    kept = docs.drop("score")
-    schema = kept.withColumn("score", F.lit(0.0)).schema
+def scored(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
+    """docs with the score; all columns stay (one named `to` is replaced)."""
+    kept = docs.drop(to)
+    schema = kept.withColumn(to, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,11 +123,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for i, j in slices(texts):
                 s = model.score(np.stack([features(t or "") for t in texts[i:j]]))
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], names=[*part.schema.names, to])
 
     return kept.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs with a score of at least 0.3, with their columns."""
+    return scored(docs, train(docs, labels, sample), "_score").where(F.col("_score") >= AT).drop("_score")
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.3) of every row of docs.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexora.llm import matrix_bpe, packing, pairwise_quality, perspectives, rule_cascade, slot_sharding, url_models, warc_zip, weighted_sampling
+from lexora.llm import lsh_forest, matrix_bpe, packing, pairwise_quality, perspectives, rule_cascade, slot_sharding, url_models, warc_zip, weighted_sampling
 from lexora.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.join(table(spark, sf_dir, "documents"))
+
+
 def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rule_cascade.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -64,7 +68,7 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_zip, op2_url_models, op3_packing, op4_pairwise_quality, op6_rule_cascade, op7_weighted_sampling, op8_matrix_bpe, op9_slot_sharding, op10_perspectives)}
+    return {f.__name__: f for f in (op1_warc_zip, op2_url_models, op3_packing, op4_pairwise_quality, op5_lsh_forest, op6_rule_cascade, op7_weighted_sampling, op8_matrix_bpe, op9_slot_sharding, op10_perspectives)}
 
 
 def oracle_sql() -> dict[str, str]:

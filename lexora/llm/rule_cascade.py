@@ -122,6 +122,14 @@ def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return measures(plain).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & cascade(order))
 
 
+def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that judge() keeps, with their columns, whatever their names."""
+    own = [f"_own_{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    judged = judge(docs.toDF(*own).withColumn("text", F.col(own[at])), sample)
+    return judged.where("kept").select(*own).toDF(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
