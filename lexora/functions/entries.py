@@ -55,7 +55,7 @@ def fragments(gloss: Column) -> Column:
         link = kind("link", F.when(trad == simp, trad).otherwise(F.concat(trad, F.lit("/"), simp)), trad, simp)
         return F.when(m.startswith("["), F.array(read)).otherwise(F.array(link, read))
 
-    each = F.transform(gaps, lambda g, i: F.concat(F.array(kind("text", trimmed(g))), F.coalesce(reference(F.get(found, i)), F.array())))
+    each = F.transform(gaps, lambda g, i: F.concat(F.array(kind("text", trimmed(g))), F.when(F.get(found, i).isNotNull(), reference(F.get(found, i))).otherwise(F.array())))
     kept = F.filter(F.flatten(each), lambda f: (f["kind"] != "text") | (f["text"] != ""))
     return F.when(F.size(kept) == 0, F.array(kind("text", gloss))).otherwise(kept)
 
