@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,8 +120,9 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, group:
     groups = max(1, -(-cuts.count() // group))
     dealt = cuts.withColumn("_group", F.floor(F.rand(seed) * groups).cast("long"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, offset = first_fit_decreasing(pdf["length"].to_numpy(), length)
-        return pdf.assign(sequence_id=pdf["_group"] * (1 << 32) + at, offset=offset).drop(columns="_group")
+    def run(rows: pa.Table) -> pa.Table:
+        at, offset = first_fit_decreasing(rows["length"].to_numpy(), length)
+        sequence = rows["_group"].to_numpy() * (1 << 32) + at
+        return rows.drop_columns("_group").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("_group").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    return dealt.groupBy("_group").applyInArrow(run, PIECES + ", sequence_id long, offset long")
