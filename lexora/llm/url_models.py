@@ -102,12 +102,13 @@ def score(urls: DataFrame, model: list[DataFrame], keys: list[str]) -> DataFrame
     return x.groupBy(*keys).agg(F.avg(ratio).alias("score"))
 
 
-def threshold(scored: DataFrame, step: float = 0.02, most: float = 6.0) -> float:
-    """The score from which URLs are blocked: the middle of the range that best parts rejected from accepted URLs.
+def threshold(scored: DataFrame, step: float = 0.02, most: float = 6.0, slack: float = 0.01) -> float:
+    """The score from which URLs are blocked: the middle of the range that parts rejected from accepted URLs.
 
     A histogram of at most 2 * most / step bins of both sets decides, by the
-    share of rejected URLs above less that of accepted ones.  Without rejected
-    or accepted URLs nothing is blocked.
+    share of rejected URLs above less that of accepted ones; scores within
+    `slack` of the best count, as accepted URLs hold some that only lack a seed
+    word.  Without rejected or accepted URLs nothing is blocked.
     """
     bins = round(most / step)
     at = F.greatest(F.least(F.floor(F.col("score") / step), F.lit(bins)), F.lit(-bins))
@@ -120,7 +121,7 @@ def threshold(scored: DataFrame, step: float = 0.02, most: float = 6.0) -> float
         above_r, above_a = above_r + (of[b]["r"] if b in of else 0), above_a + (of[b]["a"] if b in of else 0)
         best.append((round(above_r / r - above_a / a, 9), b * step))
     top = max(x for x, _ in best)
-    fits = [t for x, t in best if x == top]
+    fits = [t for x, t in best if x >= top - slack]
     return (min(fits) + max(fits)) / 2
 
 
