@@ -405,17 +405,20 @@ def one_of_each(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -
     doc_id and words one stays.
     """
     c = classes(docs, least, recall)
-    schema = docs.withColumn("_key", F.lit(0).cast("long")).schema
+    own = [f"_own_{i}" for i in range(len(docs.columns))]
+    text, doc_id = own[docs.columns.index("text")], F.col(own[docs.columns.index("doc_id")])
+    rows = docs.toDF(*own)
+    schema = rows.withColumn("_key", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = _texts(b, "text")
+            raw = _texts(b, text)
             for i, j in _batches(raw):
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shingled(raw[i:j]).key.view(np.int64))], names=[*part.schema.names, "_key"])
 
     best = c.texts.where("key = class_key").select("key", "copy_id")
-    kept = docs.mapInArrow(run, schema).join(best, (F.col("_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("copy_id")), "left_semi")
+    kept = rows.mapInArrow(run, schema).join(best, (F.col("_key") == F.col("key")) & doc_id.cast("long").eqNullSafe(F.col("copy_id")), "left_semi")
     if c.rows.groupBy("doc_id", "key").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "_key"])
-    return kept.drop("_key")
+        kept = kept.dropDuplicates([own[docs.columns.index("doc_id")], "_key"])
+    return kept.select(*own).toDF(*docs.columns)

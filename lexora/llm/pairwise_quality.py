@@ -129,8 +129,11 @@ def scored(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs with a score of at least 0.3, with their columns."""
-    return scored(docs, train(docs, labels, sample), "_score").where(F.col("_score") >= AT).drop("_score")
+    """The rows of docs with a score of at least 0.3, with their columns, whatever their names."""
+    to = "_score"
+    while to in (c.lower() for c in docs.columns):
+        to += "_"
+    return scored(docs, train(docs, labels, sample), to).where(F.col(to) >= AT).drop(to)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
