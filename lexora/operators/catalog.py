@@ -27,6 +27,13 @@ def imported(catalog: DataFrame | None, batch: DataFrame) -> DataFrame:
     return new.join(known, F.col("canonical_id").eqNullSafe(F.col("_known")), "left_anti")
 
 
+def incoming(metadata: DataFrame, first_seq: int = 0) -> DataFrame:
+    """Books of EPUB metadata rows (path, title, authors, canonical_id, cover): new ids, file names, and a sequence by path."""
+    name = F.substring_index("path", "/", -1)
+    x = metadata.withColumn("id", F.uuid()).withColumn("import_seq", F.row_number().over(W.orderBy("path")) + first_seq - 1)  # an import's files, picked by hand
+    return x.select("id", "title", "authors", "canonical_id", name.alias("book_file"), F.when(F.col("cover").isNotNull(), F.concat("id", F.lit(".jpg"))).alias("cover_file"), F.col("import_seq").cast("long").alias("import_seq"), "cover")
+
+
 def updated(catalog: DataFrame, changes: DataFrame) -> DataFrame:
     """catalog with the rows of changes in place of those with the same id; changes of other ids do nothing."""
     by = changes.select(*[F.col(c).alias(f"_{c}") for c in FIELDS], F.lit(True).alias("_hit"))

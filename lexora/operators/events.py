@@ -112,6 +112,20 @@ def navigation(events: DataFrame, key: str, kind: Column, word: Column, found: C
     return out.withColumn("can_go_back", F.col("depth") > 1)
 
 
+def reader(events: DataFrame, key: str, kind: Column, word: Column, found: Column) -> DataFrame:
+    """navigation() where a tap closes an open dictionary and a move to another place clears it; chrome: whether a tap on nothing has last shown it.
+
+    A tap while no dictionary is open toggles the chrome, which is hidden at first.
+    """
+    folded = F.when(kind.isin("tap", "move"), "close").otherwise(kind)
+    n = navigation(events, key, folded, word, found).withColumnRenamed("event_id", "_event").withColumnRenamed(key, "_key")
+    w = W.partitionBy(key).orderBy(*ORDER)
+    x = events.withColumn("kind", kind).join(n, (F.col(key) == F.col("_key")) & (F.col("event_id") == F.col("_event")))
+    toggles = (F.col("kind") == "tap") & (F.coalesce(F.lag("depth").over(w), F.lit(0)) == 0)
+    x = x.withColumn("_toggle", F.coalesce(toggles, F.lit(False)).cast("int"))
+    return x.withColumn("chrome", F.sum("_toggle").over(w.rowsBetween(W.unboundedPreceding, 0)) % 2 == 1).drop("_toggle", "_event", "_key")
+
+
 def latest(events: DataFrame, key: str, value: str) -> DataFrame:
     """The last value of each key, by partial aggregation."""
     return events.groupBy(key).agg(F.max_by(value, F.struct(*ORDER)).alias(value))

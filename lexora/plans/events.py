@@ -145,6 +145,28 @@ def mode_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.gated(_events(spark, sf_dir), "user_id", mode, "custom").select("user_id", "event_id")
 
 
+@query(_NAV.replace("WHEN n.event_type = 'signup' THEN", "WHEN n.event_type IN ('signup', 'purchase') THEN").replace("SELECT user_id, event_id, CAST(len(stack) AS BIGINT) AS depth, stack[len(stack)] AS top, len(stack) > 1 AS can_go_back FROM f WHERE rn > 0", """
+, d AS (SELECT f.user_id, f.event_id, f.rn, len(stack) AS depth, stack[len(stack)] AS top, coalesce(lag(len(stack)) OVER (PARTITION BY f.user_id ORDER BY f.rn), 0) AS before, n.event_type FROM f JOIN n ON n.user_id = f.user_id AND n.rn = f.rn WHERE f.rn > 0)
+SELECT user_id, event_id, CAST(depth AS BIGINT) AS depth, top, sum(CAST(event_type = 'purchase' AND before = 0 AS INT)) OVER (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING) % 2 = 1 AS chrome FROM d"""))
+def reader_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups move to another place, purchases tap: dictionary and chrome after each event."""
+    word, found = _word()
+    kind = F.when(_kind() == "close", "move").otherwise(_kind())
+    return longs(ev.reader(_events(spark, sf_dir), "user_id", kind, word, found).select("user_id", "event_id", "depth", "top", "chrome"), "depth")
+
+
+@query(f"""WITH {EV}, r AS (SELECT event_id, '[{{"x":' || k || ',"y":' || (k * 7 % 800) || ',"width":2' || CASE WHEN k % 3 = 0 THEN '' ELSE ',"height":3' END || '}}]' AS js, k FROM ev)
+SELECT event_id, CASE WHEN k % 3 = 0 THEN 0::BIGINT ELSE 1::BIGINT END AS n_rects, CASE WHEN k % 3 <> 0 THEN k + 2.0 END AS right_edge, k % 3 <> 0 AND k % 2 = 0 AS shown, k * 7 % 800 > 400 AS at_top FROM r""")
+def hit_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles decoded from JSON, incomplete ones dropped; where a definition is shown."""
+    k = F.col("k")
+    js = F.concat(F.lit('[{"x":'), k, F.lit(',"y":'), k * 7 % 800, F.lit(',"width":2'), F.when(k % 3 == 0, "").otherwise(',"height":3'), F.lit("}]"))
+    rects = F.filter(F.from_json(js, "array<struct<x:double,y:double,width:double,height:double>>"), lambda r: r["x"].isNotNull() & r["y"].isNotNull() & r["width"].isNotNull() & r["height"].isNotNull())
+    x = _events(spark, sf_dir).select("event_id", "k", F.inline(F.array(F.struct(rects.alias("r")))))
+    first = F.get("r", F.lit(0))
+    return longs(x.select("event_id", F.size("r").alias("n_rects"), (first["x"] + first["width"]).alias("right_edge"), (first.isNotNull() & (F.col("k") % 2 == 0)).alias("shown"), (F.col("k") * 7 % 800 > 400).alias("at_top")), "n_rects")
+
+
 # ---- streams
 
 
@@ -171,3 +193,16 @@ def nav_stack_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     word, found = _word()
     rows = _stream(spark, sf_dir).select("user_id", "us", "event_id", _kind().alias("kind"), word.alias("word"), found.alias("found"))
     return stateful.drained(stateful.navigation(rows, "user_id"), *_folders(spark, "navigation"))
+
+
+@query(f"WITH {EV}, l AS (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS rn FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)) SELECT user_id, event_id, event_type FROM l WHERE rn = 1 OR b IS DISTINCT FROM event_type")
+def distinct_until_changed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stream(spark, sf_dir).select("user_id", "us", "event_id", "event_type")
+    return stateful.drained(stateful.changed(rows, "user_id", "event_type"), *_folders(spark, "changed"))
+
+
+@query(f"SELECT user_id, event_id, suppressed FROM ({_tap_sql(2 * 3600)})")
+def tap_suppression_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "press").when(F.col("event_type") == "purchase", "tap")
+    rows = _stream(spark, sf_dir).select("user_id", "us", "event_id", kind.alias("kind")).where("kind IS NOT NULL")
+    return stateful.drained(stateful.taps(rows, "user_id", 2 * 3600), *_folders(spark, "taps"))

@@ -71,6 +71,13 @@ def dict_lookup_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.join(dic.forms(fixtures.dictionary(spark)).select("word"), "word", "left_anti")
 
 
+@query(f"WITH {DICT} SELECT entry_id, trad, simp FROM dict_raw WHERE trad = '長' OR simp = '长' OR trad = '长' OR simp = '長'")
+def dict_parameter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup of one word, bound as a parameter, over either form; the forms are a key, so nothing is compared row by row."""
+    dic.forms(fixtures.dictionary(spark)).createOrReplaceTempView("lexora_forms")
+    return spark.sql("SELECT entry_id, trad, simp FROM lexora_forms WHERE word = :w", args={"w": "长"})
+
+
 # ---- parsing
 
 

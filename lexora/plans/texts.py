@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexora import fixtures
-from lexora.constants import BLANK, BLOCK, HAN, MAX_WORD, SENTENCE, UNSEEN
+from lexora.constants import BLANK, BLOCK, ENDS, HAN, MAX_WORD, SENTENCE, UNSEEN
+from lexora.functions.text import is_script
 from lexora.functions.text import runs as runs_of
 from lexora.operators import dictionary as dic
 from lexora.operators import extract, segment
@@ -143,6 +144,14 @@ def latin_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(rows, "sent_no", "run_no")
 
 
+@query(f"""WITH {fixtures.han_sql()}, c AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM han)
+SELECT c AS ch, CAST(unicode(c) AS BIGINT) AS code, regexp_matches(c, '^[{HAN}]$') AS is_han, regexp_matches(c, '^[{BLANK}]$') AS is_blank, regexp_matches(c, '^[。！？!?]$') AS is_end FROM c WHERE c <> ''""")
+def character_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different character of the Han texts: code point, Han, white space, end of a sentence."""
+    c = han_docs(spark, sf_dir).select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").distinct()
+    return longs(c.select("ch", F.ascii("ch").alias("code"), is_script(F.col("ch")).alias("is_han"), F.col("ch").rlike(f"^[{BLANK}]$").alias("is_blank"), F.col("ch").rlike(f"^[{ENDS}]$").alias("is_end")), "code")
+
+
 # ---- HTML
 
 

@@ -24,6 +24,34 @@ def copy_if_absent(rows: DataFrame, path: str) -> None:
     rows.write.mode("ignore").parquet(path)
 
 
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Write the files of rows (name, content) below a folder of any file system that Arrow opens; name and an error, null where it went well.
+
+    A file is written beside its place and moved there, so that none is seen
+    half written; a file that fails is reported and the others go on.
+    """
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            out = []
+            for name, content in zip(b["name"], b["content"], strict=True):
+                try:
+                    with store.open_output_stream(f"{base}/.{name}.new") as f:
+                        f.write(bytes(content))
+                    store.move(f"{base}/.{name}.new", f"{base}/{name}")
+                    out.append((name, None))
+                except (OSError, TypeError) as e:
+                    out.append((name, str(e)))
+            yield pd.DataFrame(out, columns=["name", "error"]).astype(object)
+
+    return rows.select("name", "content").mapInPandas(run, "name string, error string")
+
+
 def upsert_latest(rows: DataFrame, path: str, key: str, order: list[str]) -> None:
     """For foreachBatch: the store has each key's last row of those there and rows, written as a new version beside the old."""
     spark = rows.sparkSession

@@ -28,6 +28,44 @@ def throttled(events: DataFrame, key: str, seconds: float) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(run, f"{key} long, us long, event_id long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def changed(events: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows key, event_id, value whose value differs from the one before (null equals null); the state is the last value."""
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, last = (True, state.get[0]) if state.exists else (False, None)
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        out = []
+        for event_id, v in zip(rows["event_id"].tolist(), rows[value].tolist(), strict=True):
+            if not seen or v != last:
+                out.append((k[0], event_id, v))
+            seen, last = True, v
+        state.update((last,))
+        yield pd.DataFrame(out, columns=[key, "event_id", value])
+
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} long, event_id long, {value} string", "last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def taps(events: DataFrame, key: str, seconds: float) -> DataFrame:
+    """Rows key, event_id, suppressed of the taps among events of kind press and tap; the state is the last press not yet used up."""
+    near = round(seconds * 1e6)
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        press = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        out = []
+        for us, event_id, kind in rows[["us", "event_id", "kind"]].itertuples(index=False):
+            if kind == "press":
+                press = us
+            else:
+                hit = press is not None and us - press < near
+                out.append((k[0], event_id, hit))
+                press = None if hit else press
+        state.update((press,))
+        yield pd.DataFrame(out, columns=[key, "event_id", "suppressed"])
+
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} long, event_id long, suppressed boolean", "press long", "append", GroupStateTimeout.NoTimeout)
+
+
 def navigation(events: DataFrame, key: str) -> DataFrame:
     """Rows key, event_id, depth, top; events need kind, word and found; the state is the stack of words."""
 

@@ -184,3 +184,18 @@ def test_fixture_entries_are_parsed(spark):
 def test_plans_are_pushed_down(spark, sf_dir):
     plan = segment.edges(*__import__("lexora.plans.texts", fromlist=["_latin"])._latin(spark, sf_dir))._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan and "BatchEvalPython" not in plan and "CartesianProduct" not in plan
+
+
+def test_covers_are_written(spark, tmp_path):
+    from lexora.sources import stores
+
+    rows = spark.createDataFrame([("a.jpg", b"one"), ("b.jpg", None), ("c.jpg", b"three")], "name string, content binary")
+    got = {r["name"]: r["error"] for r in stores.write_files(rows, f"file://{tmp_path}/covers").collect()}
+    assert got["a.jpg"] is None and got["c.jpg"] is None and got["b.jpg"]
+    assert sorted(p.name for p in (tmp_path / "covers").glob("*.jpg")) == ["a.jpg", "c.jpg"] and (tmp_path / "covers/c.jpg").read_bytes() == b"three"
+
+
+def test_incoming(spark):
+    m = spark.createDataFrame([("/x/b.epub", "B", ["Z"], "2", b"c"), ("/x/a.epub", None, [], None, None)], "path string, title string, authors array<string>, canonical_id string, cover binary")
+    got = catalog.incoming(m, 5).orderBy("import_seq").collect()
+    assert [(r["book_file"], r["import_seq"], r["cover_file"] is None) for r in got] == [("a.epub", 5, True), ("b.epub", 6, False)] and got[1]["cover_file"] == got[1]["id"] + ".jpg"
