@@ -78,9 +78,9 @@ def neighbours(docs: DataFrame, per_bucket: int = BUCKET) -> DataFrame:
     some = keys.distinct().orderBy(F.xxhash64("_id", "_h"), "_id", "_h").limit(16 * buckets).collect() if buckets > 1 else []
     some = sorted((r["_id"], r["_h"]) for r in some)
     bounds = sorted({some[(i + 1) * len(some) // buckets] for i in range(buckets - 1)} | ({tuple(last)} if last else set())) or [(0, 0)]
-    table = spark.createDataFrame([([i for i, _ in bounds], [h for _, h in bounds])], "ids array<bigint>, hs array<bigint>")
-    placed = rows.crossJoin(F.broadcast(table)).withColumn("bucket", F.least(_bucket(F.col("ids"), F.col("hs"), len(bounds)), F.lit(len(bounds) - 1)))
-    at_bound = (F.get(F.col("ids"), F.col("bucket")) == F.col("_id")) & (F.get(F.col("hs"), F.col("bucket")) == F.col("_h"))
+    ids, hashes = (F.split(F.lit(",".join(str(x[i]) for x in bounds)), ",").cast("array<bigint>") for i in (0, 1))  # folded to one constant each
+    placed = rows.withColumn("bucket", F.least(_bucket(ids, hashes, len(bounds)), F.lit(len(bounds) - 1)))
+    at_bound = (F.get(ids, F.col("bucket")) == F.col("_id")) & (F.get(hashes, F.col("bucket")) == F.col("_h"))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(True).alias("own"))
     lent = F.struct(F.pmod(F.col("bucket") + 1, F.lit(len(bounds))).alias("bucket"), F.lit(False).alias("own"))
     dealt = placed.select("doc_id", "text", "_id", "_h", F.inline(F.when(at_bound, F.array(own, lent)).otherwise(F.array(own))))
