@@ -28,9 +28,9 @@ def imported(catalog: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 def incoming(metadata: DataFrame, first_seq: int = 0) -> DataFrame:
-    """Books of EPUB metadata rows (path, title, authors, canonical_id, cover): new ids, file names, and a sequence by path."""
+    """Books of EPUB metadata rows (path, title, authors, canonical_id, cover): new ids, file names, and numbers from first_seq that rise with the path, with gaps."""
     name = F.substring_index("path", "/", -1)
-    x = metadata.withColumn("id", F.uuid()).withColumn("import_seq", F.row_number().over(W.orderBy("path")) + first_seq - 1)  # an import's files, picked by hand
+    x = metadata.orderBy("path").withColumn("id", F.uuid()).withColumn("import_seq", F.monotonically_increasing_id() + first_seq)
     return x.select("id", "title", "authors", "canonical_id", name.alias("book_file"), F.when(F.col("cover").isNotNull(), F.concat("id", F.lit(".jpg"))).alias("cover_file"), F.col("import_seq").cast("long").alias("import_seq"), "cover")
 
 

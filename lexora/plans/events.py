@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from lexora import fixtures
 from lexora.constants import SAVE_SECONDS, TAP_SECONDS
 from lexora.operators import events as ev
 from lexora.plans.registry import longs, query, table
+from lexora.shared import fresh
 from lexora.streaming import stateful
 
 HOURS = 12
@@ -178,8 +176,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lexora-")
-    return tuple(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}/{x}" for x in ("state", "out"))
+    base = fresh(spark, name)
+    return f"{base}/state", f"{base}/out"
 
 
 @query(_throttle_sql(HOURS * 3600))
