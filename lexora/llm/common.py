@@ -1,13 +1,12 @@
-"""What the operators share: tables, the shared folder, written cuts of lineage, salted aggregates."""
+"""What the operators share: tables, written cuts of lineage, bounded samples, salted aggregates."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexora.shared import fresh
+
 #: ASCII white space between words, as a character class and as a list for btrim.
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\f\r"
@@ -17,26 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors share.
-
-    Where the setting is absent, a local master gets a temporary folder; any
-    other master is an error, as its executors wouldn't see such a folder.
-    """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lexora.shared.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="lexora-")
-        spark.conf.set("lexora.shared.dir", where)
-    return where.rstrip("/")
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs start there, whichever executors are lost."""
     path = fresh(df.sparkSession, name)
@@ -44,6 +23,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lowest(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most `most` rows of df, those of the smallest hashes of keys.
+
+    Of a large table all but about one and a half times as many are filtered
+    out first, so that tasks don't each put forward `most` rows.
+    """
+    total = df.count()
+    if total > 2 * most:
+        df = df.where(F.xxhash64(*keys) <= -(2**63) + int(1.5 * most / total * 2**64))
+    return df.orderBy(F.xxhash64(*keys), *keys).limit(most)
+
+
 def attach(df: DataFrame, keys: list[str], spread: Column, partial: list[Column], final: list[Column], salts: int = 32) -> DataFrame:
     """df with aggregates of its rows' key groups, without gathering a group in a task.
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexora.llm.chunk_pool import slices
+from lexora.llm.common import lowest
 
 #: Labelled rows that the fit reads at most, chosen by hash; preference pairs drawn from them.
 SAMPLE = 20_000
@@ -104,8 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     all.  The chosen ids are at most `sample` rows and so can be broadcast.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    order = F.xxhash64("doc_id")
-    chosen = known.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").orderBy(order, "doc_id").limit(sample)
+    chosen = lowest(known.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), ["doc_id"], sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
     got = _featured(rows, "quality int").orderBy(F.xxhash64("x", "quality")).limit(2 * sample).collect()  # more rows than ids only where ids repeat
     x = np.array([r["x"] for r in got]).reshape(len(got), len(NAMES))
