@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexora.llm.common import cut, words_of
+from lexora.llm.common import cut, lowest, words_of
 
 #: Samples of a fingerprint; a likeness has a standard error of at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 32
@@ -75,8 +75,8 @@ def neighbours(docs: DataFrame, per_bucket: int = BUCKET) -> DataFrame:
     keys = cut(rows.select("_id", "_h"), "keys")
     n, last = keys.agg(F.count("*"), F.max(F.struct("_id", "_h"))).collect()[0]
     buckets = max(1, min(BUCKETS, -(-n // per_bucket)))
-    some = keys.distinct().orderBy(F.xxhash64("_id", "_h"), "_id", "_h").limit(16 * buckets).collect() if buckets > 1 else []
-    some = sorted((r["_id"], r["_h"]) for r in some)
+    some = lowest(keys, ["_id", "_h"], 16 * buckets).collect() if buckets > 1 else []
+    some = sorted({(r["_id"], r["_h"]) for r in some})
     bounds = sorted({some[(i + 1) * len(some) // buckets] for i in range(buckets - 1)} | ({tuple(last)} if last else set())) or [(0, 0)]
     ids, hashes = (F.split(F.lit(",".join(str(x[i]) for x in bounds)), ",").cast("array<bigint>") for i in (0, 1))  # folded to one constant each
     placed = rows.withColumn("bucket", F.least(_bucket(ids, hashes, len(bounds)), F.lit(len(bounds) - 1)))
