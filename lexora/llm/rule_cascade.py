@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from lexora.llm.common import SPACE, SPACES, cut, words_of
 
-#: Rows on which rules are measured.
-SAMPLE = 1000
+#: Rows on which rules are measured, and code points of the longest of them.
+SAMPLE, SAMPLE_CHARS = 1000, 20_000
 #: Words of the windows whose repeats count.
 WINDOW = 8
 
@@ -108,6 +108,17 @@ def cascade(of: Sequence[Rule]) -> Column:
     return out
 
 
+def sampled(docs: DataFrame, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """Measures of at most `rows` texts of at most `chars` code points: they set the order of rules and nothing else.
+
+    They come to the driver from the first partitions that have them, and so
+    needn't pass through one task.
+    """
+    spark = docs.sparkSession
+    texts = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chars).select("text").take(rows)
+    return cut(measures(spark.createDataFrame([(r["text"],) for r in texts], "text string")), "rule-sample")
+
+
 def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs with measures, base_failed and kept (false if base_failed, else the cascade's verdict).
 
@@ -117,8 +128,7 @@ def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_h", "_lines", "_w", "_s")
     plain = docs.drop(*made)
-    # the sample's first rows: they set the order of rules and nothing else
-    order = ordered(cut(measures(plain.select("text").limit(sample)), "rule-sample"), rules())
+    order = ordered(sampled(plain, sample), rules())
     return measures(plain).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & cascade(order))
 
 
