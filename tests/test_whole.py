@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from urllib.parse import quote
 
 from lexora import plans
@@ -20,3 +22,37 @@ def test_whole_texts_are_encoded(spark, tmp_path):
     escaped = str.maketrans({"\\": "\\\\", "`": "\\`", "$": "\\$", "\r": ""})
     want = {i: (None, None) if t is None else (quote(t, safe=QUERY_KEPT).replace("~", "~" if "~" in QUERY_KEPT else "%7E"), t.translate(escaped)) for i, t in texts.items()}
     assert got == want
+
+
+def best(run, words):
+    """The tokens of the best path and twice its score; ties go to the longest last word."""
+    paths = [(0, [])]
+    for j in range(1, len(run) + 1):
+        each = []
+        for i in range(max(0, j - 6), j):
+            piece = run[i:j]
+            if j - i == 1 or piece in words:
+                each.append((paths[i][0] + (3 * (j - i) if j - i > 1 else -1 if piece in words else -4), -i))
+        score, i = max(each)
+        paths.append((score, [*paths[-i][1], run[-i:j]]))
+    return paths[-1]
+
+
+def test_all_runs_are_segmented(spark, tmp_path):
+    common = "an ther tion ble s la"
+    rows = [(1, f"{common} " * 25, "en"), (2, f"{common} kurz " * 25 + "thertionbleanlathertionble x", "de"), (3, "thertion " + "anther" * 40 + "q", "fr"), (4, None, "es"), (5, "ANTHER bleu9tions \u00e9tion", None), (6, "", "en")]
+    sf_dir = documents(spark, tmp_path, rows)
+    freq = Counter(x for _, t, _ in rows for x in re.findall("[a-z]+", t or ""))
+    words = {w for w, n in freq.items() if len(w) <= 6 and n >= 20}
+    assert "kurz" in words and max(map(len, freq)) > 200 and min(map(len, freq)) == 1
+    want = {run: best(run, words) for run in freq}
+    q = {k: f(spark, sf_dir).collect() for k, f in plans.queries().items() if "all_" in k}
+    assert {r.run: (r.score2, r.segmented.split("\u00b7")) for r in q["segment_all_latin"]} == want and len(q["segment_all_latin"]) == len(want)
+    assert Counter({r.word: r.n for r in q["word_frequency_of_all_segments"]}) == Counter(w for _, tokens in want.values() for w in tokens)
+    offsets = {(r.run, r.word_no): (r.word, r.start, r.end) for r in q["word_offsets_all_latin"]}
+    assert offsets == {(run, k): (w, len("".join(tokens[:k])), len("".join(tokens[: k + 1]))) for run, (_, tokens) in want.items() for k, w in enumerate(tokens)}
+    edges = {(r.run, r.i, r.j) for r in q["segment_edges_all_latin"]}
+    assert edges == {(x, i, j) for x in freq for i in range(len(x)) for j in range(i + 1, min(len(x), i + 6) + 1) if j == i + 1 or x[i:j] in words}
+    wrapping = {r.run: (r.words, r.rest) for r in q["word_wrapping_all_latin"]}
+    assert wrapping.keys() == freq.keys()
+    assert all(w.replace("|", "") + rest == run for run, (w, rest) in wrapping.items()) and wrapping["thertion"] == ("the|rt", "ion") and wrapping["s"] == ("", "s")
