@@ -19,10 +19,12 @@ from lexora.llm.common import cut
 SEEDS = ("ads", "adult", "bet", "bets", "betting", "casino", "clicks", "escort", "gambling", "lottery", "pharmacy", "pills", "poker", "popup", "porn", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx")
 #: Characters of the longest gram: contexts have up to one less.
 ORDER = 5
-#: Grams rarer than 1/RETAIN of either model's characters aren't kept, so that a table of one order has at most 2 * RETAIN rows.
-RETAIN = 65536
 #: Weight of the shorter context's estimate.
 PRIOR = 4.0
+#: Parts that a gram's places are dealt to, however common it is.
+SALTS = 32
+#: Ratios are summed in steps of 1/STEP, so that a sum doesn't depend on the order.
+STEP = 1 << 32
 
 
 @dataclass(frozen=True)
@@ -65,41 +67,43 @@ def grams(urls: DataFrame) -> DataFrame:
     return chars.select("*", F.explode(each).alias("gram")).drop("_c")
 
 
-def train(urls: DataFrame, retain: int = RETAIN) -> list[DataFrame]:
-    """For each order from 1 to ORDER: gram and ratio, log p(rejected) - log p(accepted) of its last character.
+def train(urls: DataFrame) -> DataFrame:
+    """gram and ratio, log p(rejected) - log p(accepted) of its last character, of every gram of ORDER characters.
 
     Estimates of an order are smoothed by those of the order below with PRIOR
-    counts.  Every URL of the table counts.  A gram that isn't kept at an order
-    has the ratio of its longest kept end.
+    counts.  Every URL of the table counts and every gram is kept, so all that
+    is scored is found; tables are joined on distinct grams, of which as many
+    share a context or an end as there are characters.
     """
     counted = grams(urls.where("seen <> ''")).groupBy("gram").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("r"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a"))
     counted = cut(counted, "url-grams")
     r, a = counted.agg(F.coalesce(F.sum("r"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).collect()[0]
-    out: list[DataFrame] = []
+    lower = None
     for k in range(1, ORDER + 1):
         here = counted.groupBy(F.substring("gram", -k, k).alias("gram")).agg(F.sum("r").alias("r"), F.sum("a").alias("a"))
-        here = here.where((F.col("r") * retain >= max(r, 1)) | (F.col("a") * retain >= max(a, 1)))
-        if k == 1:
+        if lower is None:
             p = lambda n, total: (F.col(n) + 1.0) / (total + 256.0)
             here = here.select("gram", p("r", r).alias("pr"), p("a", a).alias("pa"))
         else:
             context = counted.groupBy(F.substring(F.substring("gram", -k, k), 1, k - 1).alias("_x")).agg(F.sum("r").alias("xr"), F.sum("a").alias("xa"))
-            lower = out[-1].select(F.col("gram").alias("_end"), F.col("pr").alias("lr"), F.col("pa").alias("la"))
-            here = here.withColumn("_x", F.substring("gram", 1, k - 1)).join(context, "_x").withColumn("_end", F.substring("gram", -(k - 1), k - 1)).join(F.broadcast(lower), "_end")
+            lower = lower.select(F.col("gram").alias("_end"), F.col("pr").alias("lr"), F.col("pa").alias("la"))
+            here = here.withColumn("_x", F.substring("gram", 1, k - 1)).join(context, "_x").withColumn("_end", F.substring("gram", -(k - 1), k - 1)).join(lower, "_end")
             p = lambda n, x, low: (F.col(n) + PRIOR * F.col(low)) / (F.col(x) + PRIOR)
             here = here.select("gram", p("r", "xr", "lr").alias("pr"), p("a", "xa", "la").alias("pa"))
-        out.append(cut(here, f"url-order-{k}"))
-    return [t.select("gram", F.log(F.col("pr") / F.col("pa")).alias("ratio")) for t in out]
+        lower = cut(here, f"url-order-{k}")
+    return lower.select("gram", F.log(F.col("pr") / F.col("pa")).alias("ratio"))
 
 
-def score(urls: DataFrame, model: list[DataFrame], keys: list[str]) -> DataFrame:
-    """keys and score, the mean ratio over a URL's characters and end; each table of the model is small enough to broadcast."""
-    x = grams(urls)
-    ratio = F.lit(0.0)
-    for k, t in enumerate(model, 1):
-        x = x.join(F.broadcast(t.select(F.col("gram").alias(f"_g{k}"), F.col("ratio").alias(f"_r{k}"))), F.substring("gram", -k, k) == F.col(f"_g{k}"), "left")
-        ratio = F.coalesce(F.col(f"_r{k}"), ratio)
-    return x.groupBy(*keys).agg(F.avg(ratio).alias("score"))
+def score(urls: DataFrame, model: DataFrame) -> DataFrame:
+    """id and score, the mean ratio over the characters and the end of a URL (column seen), for every id of urls.
+
+    A gram's places are dealt to SALTS parts by id; the model's rows go to the
+    parts that have them, and the two are joined on gram and part.
+    """
+    places = grams(urls.where("seen <> ''").select("id", "seen")).select("id", "gram", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    held = places.select("gram", "salt").distinct().join(model, "gram")
+    steps = places.join(held, ["gram", "salt"]).select("id", F.round(F.col("ratio") * STEP).cast("long").alias("steps"))
+    return steps.groupBy("id").agg((F.sum("steps") / F.count("*") / STEP).alias("score"))
 
 
 def threshold(scored: DataFrame, step: float = 0.02, most: float = 6.0, slack: float = 0.01) -> float:
@@ -138,8 +142,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, seeds: tuple[str, .
     urls = pages.select(F.col("page_id"), F.col("url")).groupBy("page_id", "url").agg(F.count("*").alias("n"))
     urls = urls.withColumns({"host": host, "path": path})
     urls = urls.withColumn("seen", F.concat("host", "path")).withColumn("bad", F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, seeds))))
-    keys = ["page_id", "url", "n", "host", "path", "seen", "bad"]
-    scored = cut(score(urls, train(urls), keys), "url-scores")
+    urls = cut(urls.withColumn("id", F.monotonically_increasing_id()), "urls")  # written, so that ids stay
+    scored = cut(urls.join(score(urls, train(urls)), "id", "left"), "url-scores")
     limit = threshold(scored)
     name, verdict = ruled(rules)
     modelled = F.when((F.col("seen") != "") & (F.col("score") >= F.lit(limit)), F.lit("block")).otherwise(F.lit("allow"))
