@@ -50,6 +50,14 @@ def parts(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
 
 
+def scored_text(url: Column) -> Column:
+    """The whole URL, its host (that of parts) in lower case; empty if url is null."""
+    host, _ = parts(url)
+    found, at = F.instr(url, "://"), F.instr(url, "://") + 2  # the last character before the host
+    lowered = F.concat(F.substring(url, F.lit(1), at), host, F.substring(url, at + F.length(host) + 1, F.length(url)))
+    return F.coalesce(F.when(found > 0, lowered).otherwise(url), F.lit(""))
+
+
 def ruled(rules: tuple[Rule, ...]) -> tuple[Column, Column]:
     """The longest fitting rule's name and verdict, null if none fits (equally long: the first by name)."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -132,16 +140,17 @@ def threshold(scored: DataFrame, step: float = 0.02, most: float = 6.0, slack: f
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), score, seed of every row of pages.
 
-    A rule decides where one fits; else the model: a score at or above the
-    threshold blocks.  A null url or one without "://" has an empty host and
-    path, no score, and is allowed.  Repeated rows give repeated results; a
-    null page_id stays null; an empty table gives an empty result.  Only
-    page_id and url are read.
+    A rule decides where one fits; else the model, on the whole URL: a score at
+    or above the threshold blocks.  A null or empty url is allowed.  A url
+    without "://" has an empty host and path; where the host is empty, the
+    score decides but the column score is null.  Repeated rows give repeated
+    results; a null page_id stays null; an empty table gives an empty result.
+    Only page_id and url are read.
     """
     host, path = parts(F.col("url"))
     urls = pages.select(F.col("page_id"), F.col("url")).groupBy("page_id", "url").agg(F.count("*").alias("n"))
     urls = urls.withColumns({"host": host, "path": path})
-    urls = urls.withColumn("seen", F.concat("host", "path")).withColumn("bad", F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, seeds))))
+    urls = urls.withColumn("seen", scored_text(F.col("url"))).withColumn("bad", F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, seeds))))
     urls = cut(urls.withColumn("id", F.monotonically_increasing_id()), "urls")  # written, so that ids stay
     scored = cut(urls.join(score(urls, train(urls)), "id", "left"), "url-scores")
     limit = threshold(scored)
@@ -149,5 +158,5 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, seeds: tuple[str, .
     modelled = F.when((F.col("seen") != "") & (F.col("score") >= F.lit(limit)), F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(
         F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_copy"), "page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, modelled).alias("verdict"),
-        F.when(F.col("seen") != "", F.col("score")).alias("score"), F.col("bad").alias("seed"),
+        F.when(F.col("host") != "", F.col("score")).alias("score"), F.col("bad").alias("seed"),
     ).drop("_copy")

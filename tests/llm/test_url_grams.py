@@ -52,3 +52,25 @@ def test_rare_grams_are_kept(spark):
     assert len(got) == len(rows)
     for i, u, _, _ in rows:
         assert got[i] == pytest.approx(want[u], abs=1e-8)
+
+
+def test_whole_urls_are_judged(spark):
+    r = random.Random(3)
+    name = lambda: "".join(r.choice(["ther", "tion", "ble", "an"]) for _ in range(3))
+    good = [f"http://{name()}.example.info/fr/{r.randint(1, 999)}?{name()}={name()}#{name()}" for _ in range(300)] + [f"{name()}.example.info/fr/{i}" for i in range(20)]
+    bad = [f"http://{r.choice(['casino', 'poker'])}-{r.choice(['win', 'fun'])}.example.info/fr/{r.randint(1, 999)}" for _ in range(60)]
+    spam = ["casino-win.example.info/fr/1", f"http://{name()}.example.info/fr/1?casino-win=poker-fun"]
+    urls = good + bad + spam + ["", None]
+    got = {x.page_id: x for x in url_models.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    verdicts = [got[i].verdict for i in range(len(urls))]
+    assert verdicts[:381] == ["allow"] * 320 + ["block"] * 61 and verdicts[382:] == ["allow"] * 2  # 380 has no scheme
+    assert [(got[i].host, got[i].path) for i in (380, 382, 383)] == [("", "")] * 3 and got[381].path == "/fr/1"
+    want = brute([(u, u in bad) for u in urls if u])
+    for i, u in enumerate(urls):
+        assert got[i].score == (pytest.approx(want[u], abs=1e-8) if u and "://" in u else None)
+
+
+def test_scored_text(spark):
+    urls = ["HTTP://Ab.C/P?Q#R", "x://A?B://C", "No Scheme/Q?r", "://", "", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [x[0] for x in df.select(url_models.scored_text(df["url"])).collect()] == ["HTTP://ab.c/P?Q#R", "x://a?B://C", "No Scheme/Q?r", "://", "", ""]
