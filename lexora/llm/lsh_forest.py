@@ -262,10 +262,10 @@ def candidates(texts: DataFrame, levels: int) -> DataFrame:
     return links.union(spark.createDataFrame(across, "a long, b long")) if across else links
 
 
-def _compared(sets: list[np.ndarray], block: np.ndarray, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _compared(sets: list[np.ndarray], block: np.ndarray, weight: np.ndarray, least: float, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """For each set the weight of the sets like it, and the first of those connected to it.
 
-    Sets of one block are all compared, sets of two only across.  Sizes of
+    All are compared, or only those of different blocks (across).  Sizes of
     intersections come from products of the incidence matrix of sets and
     n-grams, a range of n-grams at a time.
     """
@@ -286,7 +286,7 @@ def _compared(sets: list[np.ndarray], block: np.ndarray, weight: np.ndarray, lea
     union = size[:, None] + size[None, :] - both
     like = both >= least * union - 1e-6
     np.fill_diagonal(like, False)
-    if block.min() != block.max():
+    if across:
         like &= block[:, None] != block[None, :]
     found, root = like @ weight, np.arange(n)
     while True:
@@ -327,7 +327,7 @@ def verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
         def compared(rows: list[tuple]) -> Iterator[tuple]:
             rows = [r for r, before in zip(rows, [None, *rows], strict=False) if before is None or before[3] != r[3]]  # repeated rows
             if len(rows) > 1 or rows[0][6] > 1:
-                links, first = _compared([np.frombuffer(r[7], np.uint64) for r in rows], np.array([r[5] for r in rows]), np.array([r[4] for r in rows], np.int64), least)
+                links, first = _compared([np.frombuffer(r[7], np.uint64) for r in rows], np.array([r[5] for r in rows]), np.array([r[4] for r in rows], np.int64), least, rows[0][1] != rows[0][2])
                 for r, n, f in zip(rows, links.tolist(), first.tolist(), strict=True):
                     yield r[3], int(n), rows[f][3], r[6]
 
