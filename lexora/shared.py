@@ -1,11 +1,11 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and tables written there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: later jobs start there, whichever executors are lost."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
