@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexora.llm.common import cut
+from lexora.llm.common import cut, each_copy
 from lexora.shared import fresh
 
 SLOTS = 8192
@@ -93,11 +93,12 @@ def load(spark: SparkSession, store: str, version: int) -> SlotMap:
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and vslot of every row; a null text has no bytes, a null doc_id hashes as null.
 
-    The text is hashed too, so that rows which share a doc_id don't share a slot.
+    The text is hashed too, and the row's number among its equals, so that
+    neither rows which share a doc_id nor repeated rows share a slot.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    return slim.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
+    return each_copy(slim, "_copy").withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "_copy"), F.lit(slots)).cast("int")).drop("_copy")
 
 
 def totals(rows: DataFrame, slots: int) -> tuple[list[int], list[int]]:
@@ -111,7 +112,7 @@ def totals(rows: DataFrame, slots: int) -> tuple[list[int], list[int]]:
 def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, store: str | None = None, version: int | None = None) -> DataFrame:
     """Put every row of docs into one of `shards` shards of nearly equal bytes.
 
-    Returns doc_id, size (UTF-8 bytes of the text and 1), text_crc32, vslot,
+    Rows that repeat are spread over slots like any others.  Returns doc_id, size (UTF-8 bytes of the text and 1), text_crc32, vslot,
     shard and slot, the row's place in its shard, gapless from 0.  Places
     follow vslot, doc_id, text_crc32, size; rows equal in all of these are
     interchangeable.  An empty table gives an empty result; columns other than

@@ -18,8 +18,9 @@ from lexora.llm.common import cut, lowest, words_of
 
 #: Samples of a fingerprint; a likeness has a standard error of at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 32
-#: Rows of a bucket of neighbouring documents, as expected, and the most buckets.
-BUCKET, BUCKETS = 500, 1 << 16
+#: Rows of a bucket of neighbouring documents, as expected, while the bounds of all buckets fit in a plan; a bucket
+#: streams through its sort, so that its size is no matter of memory.
+BUCKET, BOUNDS = 500, 1 << 16
 #: The sample of a text without words.
 NONE = 0xFFFFFFFF
 
@@ -48,43 +49,50 @@ def _likeness(a: Column, b: Column, samples: int) -> Column:
     return same / F.lit(float(samples))
 
 
-def _bucket(ids: Column, texts: Column, most: int) -> Column:
-    """How many of the bounds (sorted, as literal arrays) lie below the row's key: a binary search."""
-    out = F.lit(0)
+def _bucket(bounds: list[Column], most: int) -> Column:
+    """How many of the bounds (sorted, as literal arrays by part of the key) lie below the row's key: a binary search."""
     steps = [1 << b for b in reversed(range(most.bit_length()))]
 
     def step(at: Column, by: Column) -> Column:
-        i = F.get(ids, at + by - 1)
-        below = (i < F.col("_id")) | ((i == F.col("_id")) & (F.get(texts, at + by - 1) < F.col("_h")))
+        below, tied = F.lit(False), F.lit(True)
+        for bound, own in zip(bounds, KEY, strict=True):
+            x = F.get(bound, at + by - 1)
+            below, tied = below | (tied & (x < F.col(own))), tied & (x == F.col(own))
         return F.when(F.coalesce(below, F.lit(False)), at + by).otherwise(at)
 
-    return F.aggregate(F.array(*map(F.lit, steps)), out, step)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+
+#: Where a document lies: its id (null: the least), a hash of its text, its number in the table.
+KEY = ("_id", "_h", "_row")
 
 
 def neighbours(docs: DataFrame, per_bucket: int = BUCKET) -> DataFrame:
     """bucket, n, own, doc_id, text and next, the text of the next document by falling doc_id (the last one's is the first's).
 
-    Documents lie in buckets of neighbouring keys (doc_id, then a hash of the
-    text; a null id is below all others), each bucket in one task.  The bounds
-    are keys of a sample of rows; a bound's row is its bucket's last, and a copy
-    of it (own is false) opens the next bucket as the neighbour of its first.
+    Documents lie in buckets of neighbouring keys, each bucket in one task.  No
+    two rows have the same key, so buckets are even, however many rows share an
+    id, a text or both.  The bounds are keys of a sample of rows; a bound's row
+    is its bucket's last, and a copy of it (own is false) opens the next bucket
+    as the neighbour of its first.  docs is read more than once and must give
+    its rows in the same order each time, as stored tables do.
     """
-    spark = docs.sparkSession
-    key = {"_id": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "_h": F.xxhash64("text")}
+    key = {"_id": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "_h": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumns(key)
-    keys = cut(rows.select("_id", "_h"), "keys")
-    n, last = keys.agg(F.count("*"), F.max(F.struct("_id", "_h"))).collect()[0]
-    buckets = max(1, min(BUCKETS, -(-n // per_bucket)))
-    some = lowest(keys, ["_id", "_h"], 16 * buckets).collect() if buckets > 1 else []
-    some = sorted({(r["_id"], r["_h"]) for r in some})
-    bounds = sorted({some[(i + 1) * len(some) // buckets] for i in range(buckets - 1)} | ({tuple(last)} if last else set())) or [(0, 0)]
-    ids, hashes = (F.split(F.lit(",".join(str(x[i]) for x in bounds)), ",").cast("array<bigint>") for i in (0, 1))  # folded to one constant each
-    placed = rows.withColumn("bucket", F.least(_bucket(ids, hashes, len(bounds)), F.lit(len(bounds) - 1)))
-    at_bound = (F.get(ids, F.col("bucket")) == F.col("_id")) & (F.get(hashes, F.col("bucket")) == F.col("_h"))
+    keys = cut(rows.select(*KEY), "keys")
+    n, last = keys.agg(F.count("*"), F.max(F.struct(*KEY))).collect()[0]
+    buckets = max(1, min(BOUNDS, -(-n // per_bucket)))
+    some = sorted(tuple(r) for r in lowest(keys, list(KEY), 16 * buckets).collect()) if buckets > 1 else []
+    bounds = sorted({some[(i + 1) * len(some) // buckets] for i in range(buckets - 1)} | ({tuple(last)} if last else set())) or [(0, 0, 0)]
+    held = [F.split(F.lit(",".join(str(x[i]) for x in bounds)), ",").cast("array<bigint>") for i in range(len(KEY))]  # folded to one constant each
+    placed = rows.withColumn("bucket", F.least(_bucket(held, len(bounds)), F.lit(len(bounds) - 1)))
+    at_bound = F.lit(True)
+    for bound, own in zip(held, KEY, strict=True):
+        at_bound = at_bound & (F.get(bound, F.col("bucket")) == F.col(own))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(True).alias("own"))
     lent = F.struct(F.pmod(F.col("bucket") + 1, F.lit(len(bounds))).alias("bucket"), F.lit(False).alias("own"))
-    dealt = placed.select("doc_id", "text", "_h", F.inline(F.when(at_bound, F.array(own, lent)).otherwise(F.array(own))))
-    w = W.partitionBy("bucket").orderBy("own", "doc_id", "_h")  # all columns, whatever is read of the result: so the texts are shuffled once
+    dealt = placed.select("doc_id", "text", *KEY, F.inline(F.when(at_bound, F.array(own, lent)).otherwise(F.array(own))))
+    w = W.partitionBy("bucket").orderBy("own", *KEY)  # all columns, whatever is read of the result: so the texts are shuffled once
     return dealt.select("bucket", F.row_number().over(w).alias("n"), "own", "doc_id", "text", F.coalesce(F.lag("text").over(w), F.lit("")).alias("next"))
 
 
@@ -127,7 +135,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     which is like itself alone.  Of rows with equal doc_ids, the next one
     follows by a hash of its text; equal rows follow each other.  A table of one
     row is its own next document; an empty table gives an empty result.  Columns
-    other than doc_id and text aren't read.
+    other than doc_id and text aren't read.  docs is read more than once and
+    must give its rows in the same order each time, as stored tables do.
     """
     near = neighbours(docs)
     edit = near.withColumn("edited", edited(F.col("text"), F.col("next")))

@@ -4,8 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lexora.llm import rule_cascade
-from lexora.llm.common import attach, lowest
+from lexora.llm.common import attach, each_copy, lowest
 
 
 def test_lowest_is_bounded_and_the_same_each_time(spark):
@@ -25,7 +24,14 @@ def test_attach_gives_each_row_its_groups_total(spark):
     assert sorted((r.k or "", r.v, r.total) for r in got) == sorted((k or "", v, want[k]) for k, v in rows)
 
 
-def test_sample_for_rules_is_bounded(spark):
-    df = spark.createDataFrame([("x " * 100,), (None,), ("y" * 30_000,)] * 20, "text string")
-    got = rule_cascade.sampled(df, rows=25)
-    assert got.count() == 25 and got.agg(F.max(F.length("text"))).first()[0] == 200
+def test_lowest_where_keys_repeat(spark):
+    for rows in ([1] * 5000, [1] * 5000 + [2, 3], list(range(40)) * 100):
+        some = lowest(spark.createDataFrame([(x,) for x in rows], "a long"), ["a"], 100).collect()
+        assert len(some) == 100
+
+
+def test_each_copy_numbers_equal_rows(spark):
+    rows = [(None, "a")] * 50 + [(1, None)] * 7 + [(1, "b")]
+    got = each_copy(spark.createDataFrame(rows, "k long, v string"), "i", chunk=8).collect()
+    assert Counter(map(tuple, got)) == Counter((*r, i) for r, n in Counter(rows).items() for i in range(n))
+    assert each_copy(spark.createDataFrame([], "k long, v string"), "i").count() == 0

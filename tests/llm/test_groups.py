@@ -179,6 +179,30 @@ def test_neighbours_over_many_buckets(spark):
     assert {r.doc_id: r.next for r in rows} == {i: text[(i - 1) % 101] for i in range(101)}
 
 
+def hot_rows(n=6000):
+    """Most rows equal, some with null ids and the same text, some with one id and texts of their own."""
+    return [(5, "all of these are equal rows")] * n + [(None, "null ids and one text")] * 400 + [(9, f"one id, text {i}") for i in range(400)] + [(100 + i, f"others {i}") for i in range(50)] + [(None, None)] * 3
+
+
+def test_repeated_keys_give_whole_fingerprints(spark):
+    docs = hot_rows()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).checkpoint()
+    near = weighted_sampling.neighbours(df, per_bucket=100).where("own").collect()
+    sizes = Counter(r.bucket for r in near)
+    assert len(near) == len(docs) and len(sizes) > 40 and max(sizes.values()) < 1000
+    # each row's next text: brute force over the same order, ids falling, a null the least, then a hash of the text
+    by_hash = {r.text: r.h for r in spark.createDataFrame([(t,) for t in {t or "" for _, t in docs}], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(docs, key=lambda d: (-(2**63) if d[0] is None else d[0], by_hash[d[1] or ""]), reverse=True)
+    want = Counter((i, t or "", n or "") for (i, t), (_, n) in zip(order, [*order[1:], order[0]], strict=True))
+    assert Counter((r.doc_id, r.text, r.next) for r in near) == want
+    got = weighted_sampling.fingerprints(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in docs)
+    assert {r.near_next for r in got if r.doc_id == 5} >= {1.0} and len({r.fingerprint for r in got if r.doc_id == 5}) == 1
+    for same in ([(5, "a b c")] * 3000, [(None, "x y")] * 1500):
+        rows = weighted_sampling.fingerprints(spark.createDataFrame(same, "doc_id long, text string")).collect()
+        assert len(rows) == len(same) and {r.near_next for r in rows} == {1.0}
+
+
 def test_query_op7(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     off = fingerprinted(queries.op7_weighted_sampling(spark, sf_dir).collect(), docs)
@@ -206,6 +230,13 @@ def test_shard_tables(spark, odd, none):
     assert slot_sharding.shard(none).count() == 0
 
 
+def test_repeated_rows_are_spread_over_shards(spark):
+    docs = [(1, "the same row " * 3)] * 4000 + [(i, "x" * (i % 50)) for i in range(400)]
+    rows = slot_sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), 16).collect()
+    load = sharded(rows, docs, 16)
+    assert max(load) < 1.02 * min(load)
+
+
 def test_maps_are_versioned(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x" * (i * 37 % 900)) for i in range(3000)], "doc_id long, text string")
     store = f"file://{tmp_path}/maps"
