@@ -4,11 +4,12 @@ import base64
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexora.llm import matrix_bpe, packing, queries
@@ -93,10 +94,16 @@ def test_first_fit_decreasing():
 
 
 def test_ids_are_the_vocabularys():
+    """The library as it comes, special tokens' strings included."""
     encode, t = packing.encoder(P.path("byte_bpe_50k.json"), P.PATTERN), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for x in made(500):
-        assert encode(x) == t.encode(x, add_special_tokens=False).ids
+    for x in [*made(500), "a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|>x", "<|endoftext|", "don<|endoftext|>'t  \n"]:
+        assert list(encode(x)) == t.encode(x, add_special_tokens=False).ids
+    assert list(encode("a<|endoftext|>b")) == [64, 50256, 65]
+
+
+def library():
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
 def packed_right(rows, docs, encode, length):
@@ -120,12 +127,22 @@ def packed_right(rows, docs, encode, length):
 
 def test_pack_tables(spark, odd, none):
     path = P.path("byte_bpe_50k.json")
-    encode = packing.encoder(path, P.PATTERN)
-    packed_right(packing.pack(odd, path, P.PATTERN, length=64, group=20).collect(), texts(), encode, 64)
+    rows = packing.pack(odd, path, P.PATTERN, length=64, group=20).collect()
+    packed_right(rows, texts(), library(), 64)
+    again = packing.pack(odd.orderBy("x").repartition(5, "text"), path, P.PATTERN, length=64, group=20).collect()
+    assert sorted(rows, key=str) == sorted(again, key=str)  # whatever the order of rows
     assert packing.pack(none, path, P.PATTERN).count() == 0
 
 
 def test_query_op3(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     rows = queries.op3_packing(spark, sf_dir).collect()
-    assert packed_right(rows, docs, packing.encoder(P.path("byte_bpe_50k.json"), P.PATTERN), 2048) > 0.97
+    assert packed_right(rows, docs, library(), 2048) > 0.97
+
+
+def test_repeated_rows_are_spread_over_groups(spark):
+    path = P.path("byte_bpe_50k.json")
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a few words that repeat").alias("text"))
+    rows = packing.pack(df, path, P.PATTERN, length=64, group=100).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 3000 and len(sizes) == 30 and max(sizes.values()) < 200
