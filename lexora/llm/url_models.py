@@ -1,9 +1,9 @@
 """URL filter: rules by host and path, then a character language-model ratio; Spark SQL functions only.
 
-Two variable-order Markov models over characters are counted on all URLs of the
-table: one on rejected URLs (a label of the host is a seed word), one on the
-others.  A URL's score is the mean log-likelihood ratio of its characters; the
-blocking threshold is calibrated on the scores of both sets.
+Two variable-order Markov models over characters are counted on URLs that a
+rule decides: one on blocked URLs, one on allowed ones.  The score of a URL is
+the mean log-likelihood ratio of its characters; the blocking threshold is
+calibrated on a fifth of the decided URLs, which the models don't learn from.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from lexora.llm.common import cut
 
-#: Seed words of rejected hosts, compared with the parts of a host between "." and "-".
-SEEDS = ("ads", "adult", "bet", "bets", "betting", "casino", "clicks", "escort", "gambling", "lottery", "pharmacy", "pills", "poker", "popup", "porn", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx")
 #: Characters of the longest gram: contexts have up to one less.
 ORDER = 5
 #: Weight of the shorter context's estimate.
 PRIOR = 4.0
+#: One of so many decided URLs is held out of the models and calibrates the threshold.
+HELD_OUT = 5
 #: Parts that a gram's places are dealt to, however common it is.
 SALTS = 32
 #: Ratios are summed in steps of 1/STEP, so that a sum doesn't depend on the order.
@@ -69,21 +69,23 @@ def ruled(rules: tuple[Rule, ...]) -> tuple[Column, Column]:
 
 def grams(urls: DataFrame) -> DataFrame:
     """urls with a row for each character of the URL and its end: gram, the character after the four before it."""
-    padded = F.concat(F.lit("^" * (ORDER - 1)), F.regexp_replace("seen", "[0-9]", "0"), F.lit("$"))
+    padded = F.concat(F.lit("\x02" * (ORDER - 1)), F.col("seen"), F.lit("\x03"))
     chars = urls.select("*", F.inline(F.array(F.struct(F.split(padded, "").alias("_c")))))
     each = F.transform(F.sequence(F.lit(0), F.size("_c") - ORDER), lambda i: F.concat(*[F.get(F.col("_c"), i + k) for k in range(ORDER)]))
     return chars.select("*", F.explode(each).alias("gram")).drop("_c")
 
 
 def train(urls: DataFrame) -> DataFrame:
-    """gram and ratio, log p(rejected) - log p(accepted) of its last character, of every gram of ORDER characters.
-
-    Estimates of an order are smoothed by those of the order below with PRIOR
-    counts.  Every URL of the table counts and every gram is kept, so all that
-    is scored is found; tables are joined on distinct grams, of which as many
-    share a context or an end as there are characters.
+    """gram and ratio, log p(rejected) - log p(accepted) of its last character, of every gram of ORDER characters of the URLs (seen).
+
+    Only URLs with bad set (true: rejected, false: accepted) add to the counts,
+    but every gram of the table is kept, so all that is scored is found; a gram
+    that no counted URL has gets what its shorter contexts say.  Estimates of an
+    order are smoothed by those of the order below with PRIOR counts.  Tables
+    are joined on distinct grams, of which as many share a context or an end as
+    there are characters.
     """
-    counted = grams(urls.where("seen <> ''")).groupBy("gram").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("r"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a"))
+    counted = grams(urls.where("seen <> ''").select("seen", "bad")).groupBy("gram").agg(F.count(F.when(F.col("bad"), 1)).alias("r"), F.count(F.when(~F.col("bad"), 1)).alias("a"))
     counted = cut(counted, "url-grams")
     r, a = counted.agg(F.coalesce(F.sum("r"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).collect()[0]
     lower = None
@@ -108,23 +110,25 @@ def score(urls: DataFrame, model: DataFrame) -> DataFrame:
     A gram's places are dealt to SALTS parts by id; the model's rows go to the
     parts that have them, and the two are joined on gram and part.
     """
+    parts_ = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = grams(urls.where("seen <> ''").select("id", "seen")).select("id", "gram", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    held = places.select("gram", "salt").distinct().join(model, "gram")
-    steps = places.join(held, ["gram", "salt"]).select("id", F.round(F.col("ratio") * STEP).cast("long").alias("steps"))
-    return steps.groupBy("id").agg((F.sum("steps") / F.count("*") / STEP).alias("score"))
+    dealt = places.groupBy("gram", "salt", "id").agg(F.count("*").alias("times")).repartition(parts_, "gram", "salt")
+    held = places.select("gram", "salt").distinct().join(model, "gram").repartition(parts_, "gram", "salt")
+    steps = dealt.join(held.hint("shuffle_merge"), ["gram", "salt"]).select("id", "times", F.round(F.col("ratio") * STEP).cast("long").alias("steps"))
+    return steps.groupBy("id").agg((F.sum(F.col("steps") * F.col("times")) / F.sum("times") / STEP).alias("score"))
 
 
 def threshold(scored: DataFrame, step: float = 0.02, most: float = 6.0, slack: float = 0.01) -> float:
-    """The score from which URLs are blocked: the middle of the range that parts rejected from accepted URLs.
+    """The score from which URLs are blocked: the middle of the range that parts rejected from accepted URLs (column bad).
 
     A histogram of at most 2 * most / step bins of both sets decides, by the
     share of rejected URLs above less that of accepted ones; scores within
-    `slack` of the best count, as accepted URLs hold some that only lack a seed
-    word.  Without rejected or accepted URLs nothing is blocked.
+    `slack` of the best count.  Without rejected or accepted URLs nothing is
+    blocked.
     """
     bins = round(most / step)
     at = F.greatest(F.least(F.floor(F.col("score") / step), F.lit(bins)), F.lit(-bins))
-    rows = scored.where("seen <> ''").groupBy(at.cast("int").alias("at")).agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("r"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a")).collect()
+    rows = scored.where("score IS NOT NULL AND bad IS NOT NULL").groupBy(at.cast("int").alias("at")).agg(F.count(F.when(F.col("bad"), 1)).alias("r"), F.count(F.when(~F.col("bad"), 1)).alias("a")).collect()
     r, a = sum(x["r"] for x in rows), sum(x["a"] for x in rows)
     if not r or not a:
         return float("inf")
@@ -137,26 +141,35 @@ def threshold(scored: DataFrame, step: float = 0.02, most: float = 6.0, slack: f
     return (min(fits) + max(fits)) / 2
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
-    """page_id, host, path, rule, verdict (allow or block), score, seed of every row of pages.
+def held_out(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(HELD_OUT)) == 0
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict (allow or block), score and held_out of every row of pages.
 
-    A rule decides where one fits; else the model, on the whole URL: a score at
-    or above the threshold blocks.  A null or empty url is allowed.  A url
-    without "://" has an empty host and path; where the host is empty, the
-    score decides but the column score is null.  Repeated rows give repeated
-    results; a null page_id stays null; an empty table gives an empty result.
-    Only page_id and url are read.
+    A rule decides where one fits; else the models, on the whole URL: a score
+    at or above the threshold blocks.  The models learn from URLs that a rule
+    decides, but for those with held_out set, which calibrate the threshold (all
+    decided URLs, where one side has none held out).  Without decided URLs of
+    both kinds nothing else is blocked.  A null or empty url is allowed and has
+    no score; a url without "://" has an empty host and path, fits no rule and
+    is scored like any other.  Repeated rows give repeated results; a null
+    page_id stays null; an empty table gives an empty result.  Only page_id and
+    url are read.
     """
+    spark = pages.sparkSession
     host, path = parts(F.col("url"))
-    urls = pages.select(F.col("page_id"), F.col("url")).groupBy("page_id", "url").agg(F.count("*").alias("n"))
-    urls = urls.withColumns({"host": host, "path": path})
-    urls = urls.withColumn("seen", scored_text(F.col("url"))).withColumn("bad", F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, seeds))))
-    urls = cut(urls.withColumn("id", F.monotonically_increasing_id()), "urls")  # written, so that ids stay
-    scored = cut(urls.join(score(urls, train(urls)), "id", "left"), "url-scores")
-    limit = threshold(scored)
     name, verdict = ruled(rules)
-    modelled = F.when((F.col("seen") != "") & (F.col("score") >= F.lit(limit)), F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select(
-        F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_copy"), "page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, modelled).alias("verdict"),
-        F.when(F.col("host") != "", F.col("score")).alias("score"), F.col("bad").alias("seed"),
-    ).drop("_copy")
+    urls = pages.select(F.col("page_id"), F.col("url")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumns({"host": host, "path": path})
+    urls = urls.withColumns({"rule": name, "ruled": verdict, "seen": scored_text(F.col("url"))})
+    urls = urls.withColumn("held_out", F.col("ruled").isNotNull() & held_out(F.col("seen")))
+    urls = cut(urls.withColumn("id", F.monotonically_increasing_id()), "urls")  # written, so that ids stay
+    bad = F.when(F.col("ruled").isNotNull(), F.col("ruled") == "block")
+    model = train(urls.select("seen", F.when(~F.col("held_out"), bad).alias("bad")))
+    scored = cut(urls.join(score(urls, model), "id", "left"), "url-scores")
+    limit = threshold(scored.select("score", F.when(F.col("held_out"), bad).alias("bad")))
+    if limit == float("inf"):
+        limit = threshold(scored.select("score", bad.alias("bad")))
+    modelled = F.when(F.col("score") >= F.lit(limit), F.lit("block")).otherwise(F.lit("allow"))
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", modelled).alias("verdict"), "score", "held_out")

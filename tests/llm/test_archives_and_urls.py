@@ -128,24 +128,10 @@ def test_rules_and_parts(spark):
         name, verdict = rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, name)
         assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
-        assert host or r.verdict == "allow" and r.score is None
+        assert (r.score is None) == (not URLS[r.page_id])
     assert url_models.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_model_parts_the_corpora(spark):
-    r = random.Random(3)
-    name = lambda: "".join(r.choice(["ther", "tion", "ble", "an"]) for _ in range(3))
-    good = [f"http://{name()}.example.info/fr/{r.randint(1, 999)}" for _ in range(300)]
-    bad = [f"http://{r.choice(['casino', 'poker'])}-{r.choice(['win', 'fun'])}.example.info/fr/{r.randint(1, 999)}" for _ in range(60)]
-    unlabelled = ["http://casinowin.example.info/fr/1", "http://winpokerfun.example.info/fr/2"]
-    got = {r.url_: r for r in url_models.judge(spark.createDataFrame(list(enumerate(good + bad + unlabelled)), "page_id long, url string")).withColumnRenamed("page_id", "url_").collect()}
-    verdicts = [got[i].verdict for i in range(362)]
-    assert verdicts[:300].count("block") == 0 and verdicts[300:360].count("block") == 60
-    assert min(got[360].score, got[361].score) > max(got[i].score for i in range(300))  # though counted among the accepted
-    only = url_models.judge(spark.createDataFrame(list(enumerate(good)), "page_id long, url string"))
-    assert only.where("verdict = 'block'").count() == 0
-
-
 def test_query_op2(spark, sf_dir):
     got = queries.op2_url_models(spark, sf_dir).collect()
     want = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
