@@ -14,8 +14,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Chunks of a worker's pool; a full pool is emptied.
-MOST = 250_000
+#: Chunks of a worker's pool, and code points and ids of them; a full pool is emptied before the next batch.
+MOST, MOST_HELD = 250_000, 1 << 24
 #: Code points after which a batch of texts is closed.
 BATCH_CHARS = 1 << 21
 
@@ -43,8 +43,8 @@ def _merged(parts: list[str]) -> list[str]:
 
 
 class ChunkPool:
-    def __init__(self, encode: Encode, most: int = MOST):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Encode, most: int = MOST, most_held: int = MOST_HELD):
+        self.encode, self.most, self.most_held = encode, most, most_held
         self._empty()
 
     def _empty(self) -> None:
@@ -52,7 +52,7 @@ class ChunkPool:
         self.pool = np.empty(1 << 16, np.int32)
         self.start = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.used = self.held = 0
 
     def _add(self, new: list[str]) -> None:
         """new: a text's first chunk after a "\\0", any other after its space."""
@@ -66,10 +66,11 @@ class ChunkPool:
         self.start[at : at + n], self.size[at : at + n] = self.used + np.cumsum(size) - size, size
         self.slot.update(zip([k if k[0] == "\0" else k[1:] for k in new], range(at, at + n), strict=True))
         self.used += len(ids)
+        self.held += len(ids) + sum(map(len, new))
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and for each text the place of its first (and, at last, the end)."""
-        if len(self.slot) > self.most:
+        if len(self.slot) > self.most or self.held > self.most_held:
             self._empty()
         # keys: "\0" and the text's first chunk; any other chunk as it is (a chunk can't start with "\0" unless the text has it: those take the space)
         keys, counts = [], np.empty(len(texts), np.int64)

@@ -1,18 +1,18 @@
 """Byte-level BPE encoding and decoding over padded numpy matrices.
 
-Distinct pre-tokens of a batch are bucketed by byte length and laid out as
-rows of a padded matrix.  In each round every row merges its leftmost pair of
-minimum rank; pairs are looked up in an open-addressing hash table, rows close
-up by one column, and rows without a pair left are taken out.  Pre-tokens
-longer than LONG bytes would need as many rounds as bytes; they merge over a
-linked list and a heap, in the same order.
+Distinct pre-tokens of a batch, of any length, are bucketed by byte length and
+laid out as rows of a padded matrix.  In each round every row merges its pair of
+minimum rank, leftmost first, wherever the row has it (only the leftmost, where
+a merge makes a pair of no higher rank); pairs are looked up in an
+open-addressing hash table, rows close up, and rows without a pair left are
+taken out.  Where two adjacent bytes are in no token together, no merge can
+cross, and a pre-token is laid out as several rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 
 from lexora.llm.chunk_pool import ChunkPool, slices
 
-#: Bytes of the longest pre-token that is merged in a matrix.
-LONG = 256
-#: Rows of a matrix.
-ROWS = 1 << 14
+#: Rows and cells of a matrix; a longer row is a matrix of its own.
+ROWS, CELLS = 1 << 14, 1 << 21
 NONE = np.int32(2**31 - 1)
 
+#: The pattern that _FAST and the pool of chunks stand for; texts are split as a whole by any other.
+OWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Where a text has only these characters, the classes of the pattern below agree with Unicode's \p{L}, \p{N} and white space.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ɏ]*")
 _FAST = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
@@ -74,13 +74,13 @@ class PairTable:
 class Codec:
     """ranks: token bytes to ids; pattern: what splits a text, each match encoded apart."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, own_pattern: bool = True):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.ranks = ranks
         # the pattern's \s as Unicode's White_Space, which leaves out U+001C to U+001F
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.fast = own_pattern
+        self.fast = pattern == OWN_PATTERN
         left, right, rank = [], [], []
         for token, r in ranks.items():
             for i in range(1, len(token)):
@@ -88,7 +88,10 @@ class Codec:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
         self.pairs = PairTable(*(np.array(x, np.int64) for x in (left, right, rank)))
-        self.pair = {(a, b): r for a, b, r in zip(left, right, rank, strict=True)}
+        self.joined = np.zeros(1 << 16, bool)
+        for token in ranks:
+            x = np.frombuffer(token, np.uint8).astype(np.int64)
+            self.joined[x[:-1] << 8 | x[1:]] = True
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         by_id: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, r in ranks.items():
@@ -106,7 +109,7 @@ class Codec:
         pre, counts, k = [], [], 0
         while k < len(texts):
             run = k
-            while run < min(len(texts), k + 512) and (t := texts[run])[:1] == " " and t[1:2] and not t[1].isspace() and not t[-1].isspace():
+            while self.fast and run < min(len(texts), k + 512) and (t := texts[run])[:1] == " " and t[1:2] and not t[1].isspace() and not t[-1].isspace():
                 run += 1
             if run > k:  # chunks that split alike when joined, as each but the first follows a character that isn't white space
                 found = self.pre_tokens("".join(texts[k:run]))
@@ -130,91 +133,109 @@ class Codec:
     def encode_tokens(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of pre-tokens in some order; the place of each one's first, and how many it has."""
         whole = np.fromiter((self.ranks.get(t, -1) for t in tokens), np.int64, len(tokens))
-        length = np.fromiter(map(len, tokens), np.int64, len(tokens))
         start, size = np.arange(len(tokens)), np.ones(len(tokens), np.int64)
-        flat, used = [whole.astype(np.int32)], len(tokens)
-        for i in np.flatnonzero((whole < 0) & (length > LONG)):
-            flat.append(self._merge_long(tokens[i]))
-            start[i], size[i] = used, len(flat[-1])
-            used += len(flat[-1])
-        rest = np.flatnonzero((whole < 0) & (length <= LONG))
-        bucket = np.ceil(np.log2(length[rest].clip(min=1)) * 2).astype(np.int64)
+        rest = np.flatnonzero(whole < 0)
+        if not len(rest):
+            return whole.astype(np.int32), start, size
+        ids, first, n = self._merged([tokens[i] for i in rest])
+        start[rest], size[rest] = len(tokens) + first, n
+        return np.concatenate([whole.astype(np.int32), ids]), start, size
+
+    def _merged(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As encode_tokens, by merging alone, token after token."""
+        raw = np.frombuffer(b"".join(tokens), np.uint8)
+        upto = np.cumsum([len(t) for t in tokens])
+        cut = np.ones(len(raw) + 1, bool)  # before which bytes a row begins
+        cut[1:-1] = ~self.joined[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        cut[upto] = True
+        at = np.flatnonzero(cut)
+        begin, length = at[:-1], np.diff(at)
+        bucket = np.ceil(np.log2(length) * 2).astype(np.int64)
+        start, size = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        flat, used = [], 0
         for b in np.unique(bucket):
-            rows = rest[bucket == b]
-            for k in range(0, len(rows), ROWS):
-                part = rows[k : k + ROWS]
-                ids, n = self._merge([tokens[i] for i in part])
-                flat.append(ids[np.arange(ids.shape[1])[None, :] < n[:, None]])
+            rows = np.flatnonzero(bucket == b)
+            step = max(1, min(ROWS, CELLS // int(length[rows].max())))
+            for k in range(0, len(rows), step):
+                part = rows[k : k + step]
+                ids, n = self._merge(raw, begin[part], length[part])
+                flat.append(ids)
                 start[part], size[part] = used + np.cumsum(n) - n, n
-                used += len(flat[-1])
-        return np.concatenate(flat), start, size
+                used += len(ids)
+        ends = np.cumsum(size)
+        ids = np.concatenate(flat)[np.repeat(start - ends + size, size) + np.arange(ends[-1])]
+        done = np.concatenate([[0], ends])[np.searchsorted(begin, np.concatenate([[0], upto]))]
+        return ids, done[:-1], np.diff(done)
 
-    def _merge(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Every row merges its leftmost pair of minimum rank in each round."""
-        n = np.array([len(t) for t in tokens])
+    def _merge(self, raw: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows of n bytes from begin on, one row after the other, and how many each has."""
         width = int(n.max())
-        padded = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in tokens), np.uint8).reshape(len(tokens), width)
-        ids = self.byte[padded]
-        rank = self.pairs.get(ids[:, :-1], ids[:, 1:])
-        rank[np.arange(width - 1)[None, :] >= (n - 1)[:, None]] = NONE
-        done_ids, done_n = ids.copy(), n.copy()
-        live = np.arange(len(tokens))
+        cols = np.arange(width)[None, :]
+        ids = self.byte[raw[np.minimum(begin[:, None] + cols, len(raw) - 1)]]
+        rank = np.full(ids.shape, NONE)
+        has = cols[:, 1:] < n[:, None]
+        rank[:, :-1][has] = self.pairs.get(ids[:, :-1][has], ids[:, 1:][has])
+        live, n = np.arange(len(n)), n.astype(np.int64)
+        done_ids, done_row, done_n = [], [], n.copy()
         while len(live):
-            at = rank.argmin(axis=1)
-            rows = np.arange(len(live))
-            best = rank[rows, at]
-            keep = best != NONE
-            if not keep.all():
-                out = ~keep
-                done_ids[live[out], : ids.shape[1]], done_n[live[out]] = ids[out], n[out]
-                live, ids, rank, n, at, best = live[keep], ids[keep], rank[keep], n[keep], at[keep], best[keep]
-                rows = np.arange(len(live))
+            best = rank.min(axis=1)
+            over = best == NONE
+            if over.any():
+                inside = cols[:, : ids.shape[1]] < n[over][:, None]
+                done_ids.append(ids[over][inside])
+                done_row.append(np.repeat(live[over], n[over]))
+                done_n[live[over]] = n[over]
+                live, ids, rank, n, best = live[~over], ids[~over], rank[~over], n[~over], best[~over]
                 if not len(live):
                     break
-            ids[rows, at] = best
-            cols = np.arange(ids.shape[1] - 1)[None, :]
-            ids[:, 1:] = np.where(cols + 1 > at[:, None], np.concatenate([ids[:, 2:], ids[:, -1:]], axis=1), ids[:, 1:])
-            rank = np.where(cols > at[:, None], np.concatenate([rank[:, 1:], np.full((len(live), 1), NONE)], axis=1), rank)
-            n = n - 1
-            if int(n.max()) < ids.shape[1]:  # closed up: the last column is free in all rows
-                ids, rank = ids[:, :-1], rank[:, :-1]
-            if ids.shape[1] < 2:
-                done_ids[live, :1], done_n[live] = ids, n
-                break
-            last = ids.shape[1] - 1
-            right = self.pairs.get(ids[rows, at.clip(max=last)], ids[rows, (at + 1).clip(max=last)])
-            ok = at + 1 < n
-            rank[rows[ok], at[ok]] = right[ok]
-            rank[rows[~ok & (at < last)], at[~ok & (at < last)]] = NONE
-            ok = at > 0
-            rank[rows[ok], at[ok] - 1] = self.pairs.get(ids[rows[ok], at[ok] - 1], ids[rows[ok], at[ok]])
-        return done_ids, done_n
-
-    def _merge_long(self, token: bytes) -> np.ndarray:
-        ids = self.byte[np.frombuffer(token, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pair.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (x := self.pair.get((r, ids[k]))) is not None:
-                    heapq.heappush(heap, (x, i, r, ids[k]))
-            h = before[i]
-            if h >= 0 and (x := self.pair.get((ids[h], r))) is not None:
-                heapq.heappush(heap, (x, h, ids[h], r))
-        return np.array([x for x in ids if x >= 0], np.int32)
+            here = cols[:, : ids.shape[1]]
+            hit = rank == best[:, None]
+            before = np.maximum.accumulate(np.where(hit, -1, here), axis=1)
+            hit &= (here - before) % 2 == 1  # of overlapping pairs every other one, from the left
+            once = self._between(ids, hit, best)
+            out = self._closed(ids, rank, n, best, hit)
+            once |= out[3]
+            if once.any():  # a merge makes a pair that comes before the row's others: only the leftmost merges
+                hit[once] &= hit[once].cumsum(axis=1) == 1
+                out = self._closed(ids, rank, n, best, hit)
+            ids, rank, n, _ = out
+        row = np.concatenate(done_row)
+        return np.concatenate(done_ids)[np.argsort(row, kind="stable")], done_n
+
+    def _between(self, ids: np.ndarray, hit: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """The rows in which a merge is followed by the next one's first id at once, and the two make a pair of no higher rank."""
+        out = np.zeros(len(ids), bool)
+        row, col = np.nonzero(hit[:, :-2] & hit[:, 2:])
+        out[row[self.pairs.get(best[row], ids[row, col + 2]) <= best[row]]] = True
+        return out
+
+    def _closed(self, ids: np.ndarray, rank: np.ndarray, n: np.ndarray, best: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids, ranks and lengths after the pairs at hit have merged, and the rows where a new pair's rank is no higher than theirs."""
+        cols = np.arange(ids.shape[1])[None, :]
+        keep = cols < n[:, None]
+        keep[:, 1:] &= ~hit[:, :-1]
+        merged = np.where(hit, best[:, None], ids)
+        n = keep.sum(axis=1)
+        valid = cols[:, : int(n.max())] < n[:, None]
+        new_ids, new_rank, made = np.zeros(valid.shape, np.int32), np.full(valid.shape, NONE), np.zeros(valid.shape, bool)
+        new_ids[valid], new_rank[valid], made[valid] = merged[keep], rank[keep], hit[keep]
+        again = made.copy()
+        again[:, :-1] |= made[:, 1:]
+        new_rank[again] = NONE
+        again[:, :-1] &= valid[:, 1:]
+        again[:, -1] = False
+        row, col = np.nonzero(again)
+        new_rank[row, col] = found = self.pairs.get(new_ids[row, col], new_ids[row, col + 1])
+        lower = np.zeros(len(n), bool)
+        lower[row[found <= best[row]]] = True
+        return new_ids, new_rank, n, lower
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and the places of each text's first."""
-        return self.pool.ids(texts)
+        """Ids of all texts, and the places of each text's first (and, at last, the end)."""
+        if self.fast:
+            return self.pool.ids(texts)
+        ids, n = self.encode_parts(texts)
+        return ids, np.concatenate([[0], np.cumsum(n)])
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids."""
@@ -232,7 +253,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """docs with an array of ids; a null text is empty, an empty text has no ids, other columns stay (one named `to` is replaced)."""
+    """docs with an array of ids; a null text is empty, an empty text has no ids, other columns stay (one named `to`, in any case of letters, is replaced)."""
     schema = docs.drop(to).withColumn(to, _ints()).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +263,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to: str
             for i, j in slices(texts):
                 ids, at = c.encode([t or "" for t in texts[i:j]])
                 part = b.slice(i, j - i)
-                kept = [(f.name, part.column(k)) for k, f in enumerate(b.schema) if f.name != to]
+                kept = [(f.name, part.column(k)) for k, f in enumerate(b.schema) if f.name.lower() != to.lower()]
                 yield pa.RecordBatch.from_arrays([x for _, x in kept] + [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], names=[n for n, _ in kept] + [to])
 
     return docs.mapInArrow(run, schema)
@@ -258,7 +279,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", to: str =
         c = codec(path, pattern)
         for b in batches:
             values = [c.decode(np.array(x or [], np.int64)).tobytes() for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
-            kept = [(f.name, b.column(k)) for k, f in enumerate(b.schema) if f.name != to]
+            kept = [(f.name, b.column(k)) for k, f in enumerate(b.schema) if f.name.lower() != to.lower()]
             yield pa.RecordBatch.from_arrays([x for _, x in kept] + [pa.array(values, pa.binary())], names=[n for n, _ in kept] + [to])
 
     return rows.mapInArrow(run, schema)

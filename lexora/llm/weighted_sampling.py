@@ -92,7 +92,7 @@ def neighbours(docs: DataFrame, per_bucket: int = BUCKET) -> DataFrame:
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(True).alias("own"))
     lent = F.struct(F.pmod(F.col("bucket") + 1, F.lit(len(bounds))).alias("bucket"), F.lit(False).alias("own"))
     dealt = placed.select("doc_id", "text", *KEY, F.inline(F.when(at_bound, F.array(own, lent)).otherwise(F.array(own))))
-    w = W.partitionBy("bucket").orderBy("own", *KEY)  # all columns, whatever is read of the result: so the texts are shuffled once
+    w = W.partitionBy("bucket").orderBy("own", *KEY, "doc_id")  # all columns, whatever is read of the result: so the texts are shuffled once
     return dealt.select("bucket", F.row_number().over(w).alias("n"), "own", "doc_id", "text", F.coalesce(F.lag("text").over(w), F.lit("")).alias("next"))
 
 

@@ -40,7 +40,7 @@ def test_codec_is_tiktoken():
 def test_merges_need_not_rise():
     """Ranks whose merges make pairs of lower rank than their own: still the leftmost pair of minimum rank each round."""
     ranks = {bytes([i]): i for i in range(256)} | {b"ab": 300, b"bc": 299, b"abc": 256, b"aa": 270, b"aaaa": 260, b"ca": 290, b"bca": 258}
-    own, c = tiktoken.Encoding("x", pat_str=r"[a-z]+|[^a-z]+", mergeable_ranks=ranks, special_tokens={}), matrix_bpe.Codec(ranks, r"[a-z]+|[^a-z]+", False)
+    own, c = tiktoken.Encoding("x", pat_str=r"[a-z]+|[^a-z]+", mergeable_ranks=ranks, special_tokens={}), matrix_bpe.Codec(ranks, r"[a-z]+|[^a-z]+")
     r = random.Random(1)
     for n in (5, 40, 400):
         t = "".join(r.choice("abc") for _ in range(n))
@@ -49,9 +49,26 @@ def test_merges_need_not_rise():
 
 def test_pool_survives_being_emptied():
     c = matrix_bpe.Codec(RANKS, P.PATTERN)
-    c.pool = ChunkPool(c.encode_parts, most=5)
-    for t in made(100):
-        assert c.encode([t, t])[0].tolist() == 2 * TIKTOKEN.encode_ordinary(t)
+    for c.pool in (ChunkPool(c.encode_parts, most=5), ChunkPool(c.encode_parts, most_held=100)):
+        for t in made(100):
+            assert c.encode([t, t])[0].tolist() == 2 * TIKTOKEN.encode_ordinary(t)
+
+
+def test_long_pre_tokens_are_merged_in_matrices():
+    """Pre-tokens of any length: equal characters, letters without spaces, letters of many alphabets, marks."""
+    c, r = matrix_bpe.Codec(RANKS, P.PATTERN), random.Random(8)
+    for letters, n in (("a", 100_000), ("ab", 30_000), ("etaoinshrdlu", 20_000), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 20_000), ("中文字é🎉", 5000), ("=-#*", 20_000), (" ", 70_000), ("\n", 4097)):
+        t = "".join(r.choice(letters) for _ in range(n))
+        ids, at = c.encode([t, "x", t[: n // 2]])
+        assert ids[: at[1]].tolist() == TIKTOKEN.encode_ordinary(t) and ids[at[2] :].tolist() == TIKTOKEN.encode_ordinary(t[: n // 2])
+
+
+def test_any_pattern_is_honoured():
+    for pattern in (r"\S+|\s+", r"(?s).+", r"\p{L}+|[^\p{L}]+", P.PATTERN):
+        c, own = matrix_bpe.Codec(RANKS, pattern), tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+        for t in made(150):
+            ids, at = c.encode([t, t])
+            assert ids[: at[1]].tolist() == own.encode_ordinary(t) == ids[at[1] :].tolist()
 
 
 def test_tables(spark, odd, none):
@@ -64,6 +81,9 @@ def test_tables(spark, odd, none):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     both = matrix_bpe.decode(matrix_bpe.encode(odd, path, P.PATTERN), path, P.PATTERN)
     assert both.columns == [*odd.columns, "ids", "decoded"] and all(bytes(r.decoded).decode() == (r.text or "") for r in both.collect())
+    upper = odd.select("doc_id", "text", F.lit(1).alias("IDS"), F.lit(2).alias("Decoded"))
+    both = matrix_bpe.decode(matrix_bpe.encode(upper, path, P.PATTERN), path, P.PATTERN)
+    assert both.columns == ["doc_id", "text", "ids", "decoded"] and all(bytes(r.decoded).decode() == (r.text or "") for r in both.collect())
     assert matrix_bpe.digests(none, path, P.PATTERN).count() == 0 and matrix_bpe.encode(none, path, P.PATTERN).count() == 0
 
 
