@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in Spark SQL functions only.
 
-Each rule is a rejecting condition.  On a bounded sample the time each rule
-takes and the share it rejects are measured; rules then run in the order of
-rejections per second, and a document that one rejects is not tested by the
-rest.  The order changes the time taken, never the verdict.
+Each rule is a rejecting condition.  On a random sample the time each rule takes
+and the rows it rejects are measured; rules then run in the order of rejections
+per second among the rows that the rules before leave, and a document that one
+rejects is not tested by the rest.  The order changes the time taken, never the
+verdict.
 """
 
 from __future__ import annotations
@@ -17,16 +18,21 @@ from pyspark.sql import functions as F
 
 from lexora.llm.common import SPACE, SPACES, cut, words_of
 
-#: Rows on which rules are measured, and code points of the longest of them.
-SAMPLE, SAMPLE_CHARS = 1000, 20_000
+#: Rows on which rules are measured, as expected, how often each is tested when it is timed, and the seed of the sample.
+SAMPLE, TIMES, SEED = 1000, 2, 5
 #: Words of the windows whose repeats count.
 WINDOW = 8
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 
 @dataclass(frozen=True)
 class Rule:
+    """rejects: a condition over text and measures; windows: whether it reads n_repeat_words, the costly one."""
+
     name: str
     rejects: Column
+    windows: bool = False
 
 
 def bind(df: DataFrame, **columns: Column) -> DataFrame:
@@ -34,48 +40,75 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of the column text.
+def _apart(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df lacks, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+@dataclass(frozen=True)
+class Parts:
+    """Names of the columns that hold a text's lines with words and its words' hashes."""
+
+    lines: str
+    hashes: str
+
+
+def counted(docs: DataFrame) -> tuple[DataFrame, Parts]:
+    """docs with the parts of each text and all measures but n_repeat_words; n_symbols and n_dup_lines are computed where they are read."""
+    text, words = F.coalesce(F.col("text"), F.lit("")), _apart(docs, "_words")
+    parts = Parts(_apart(docs, "_lines"), _apart(docs, "_hashes"))
+    x = bind(docs, **{words: words_of(F.col("text")), parts.lines: F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")})
+    x = bind(x, **{parts.hashes: F.transform(words, lambda w: F.xxhash64(w)), "n_words": F.size(words).cast("long"), "word_chars": F.length(F.array_join(words, "")).cast("long")}).drop(words)
+    return x.withColumns({
+        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
+        "n_dup_lines": (F.size(parts.lines) - F.size(F.array_distinct(parts.lines))).cast("long"),
+    }), parts
+
+
+def repeated(x: DataFrame, parts: Parts) -> DataFrame:
+    """x with n_repeat_words, the words inside windows of 8 words that the text has twice or more, the first included.
 
-    n_repeat_words counts the words inside windows of 8 words that the text has
-    twice or more, the first included.  A null, empty or blank text has zeros.
     Windows are compared by a 64-bit hash.  Only documents with a repeated
     window pay for the sort that finds its places.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    x = bind(docs, _h=F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)), _lines=lines)
-    n = F.size("_h")
+    n, w, s = F.size(parts.hashes), _apart(x, "_windows"), _apart(x, "_places")
 
     def window(i: Column) -> Column:
-        return F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)])
+        return F.xxhash64(*[F.get(F.col(parts.hashes), i + k) for k in range(WINDOW)])
 
-    x = bind(x, _w=F.when(n > WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<bigint>")))
-    pairs = F.sort_array(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    x = bind(x, _s=F.when(F.size(F.array_distinct("_w")) < F.size("_w"), pairs))
-    again = lambda p, j: (p["h"] == F.get(F.col("_s"), j - 1)["h"]) | (p["h"] == F.get(F.col("_s"), j + 1)["h"])
-    places = F.sort_array(F.transform(F.filter("_s", again), lambda p: p["i"]))
+    y = bind(x, **{w: F.when(n > WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<bigint>"))})
+    pairs = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    y = bind(y, **{s: F.when(F.size(F.array_distinct(w)) < F.size(w), pairs)})
+    again = lambda p, j: (p["h"] == F.get(F.col(s), j - 1)["h"]) | (p["h"] == F.get(F.col(s), j + 1)["h"])
+    places = F.sort_array(F.transform(F.filter(s, again), lambda p: p["i"]))
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(places, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")), lambda a: a["n"])
-    return x.select(
-        *docs.columns,
-        n.cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, SPACE + "+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
-    )
+    return y.select(*x.columns, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+
+
+def measures(docs: DataFrame) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of the column text; a null, empty or blank text has zeros."""
+    x, parts = counted(docs)
+    return repeated(x, parts).select(*docs.columns, *MEASURES)
+
+
+def base_rules() -> list[Rule]:
+    return [Rule("few_words", F.col("n_words") < 20), Rule("repeated_words", F.col("n_repeat_words") * 100 > F.col("n_words") * 30, windows=True)]
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+    few, repeated_words = base_rules()
+    return few.rejects | repeated_words.rejects
 
 
-def rules() -> list[Rule]:
-    """The production rules, over text and measures(); none is null, whatever the text."""
+def rules(parts: Parts) -> list[Rule]:
+    """The production rules, over text, its parts and measures; none is null, whatever the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     count = lambda unlike: F.length(F.regexp_replace(text, unlike, ""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    lines = F.col(parts.lines)
     share = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern)))
     return [
         Rule("symbols", F.col("n_symbols") * 10 > F.col("n_words")),
@@ -89,15 +122,54 @@ def rules() -> list[Rule]:
     ]
 
 
-def ordered(sample: DataFrame, of: Sequence[Rule]) -> list[Rule]:
-    """The rules by rejections per second on the sample, most first; ties by name."""
-    rated = []
-    for r in of:
-        sample.where(r.rejects).agg(F.count("*")).collect()  # compiles the plan, so that the next run shows the rule's own time
-        began = time.perf_counter()
-        n = sample.where(r.rejects).agg(F.count("*")).collect()[0][0]
-        rated.append((-n / max(time.perf_counter() - began, 1e-6), r.name, r))
-    return [r for _, _, r in sorted(rated, key=lambda x: x[:2])]
+def sampled(docs: DataFrame, rows: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """About `rows` random rows of docs, from all partitions and of any length, as text alone; they set the order of rules and nothing else."""
+    total = docs.count()
+    return docs.select("text").sample(min(1.0, rows / max(1, total)), seed)
+
+
+def costs(x: DataFrame, parts: Parts, of: Sequence[Rule], times: int = TIMES) -> tuple[list[float], list[tuple[bool, ...]]]:
+    """The seconds that each rule takes on the counted sample x, and for each of its rows which rules reject it.
+
+    A rule is timed on the sample repeated `times` times; what a condition takes
+    that only reads text and words is deducted.  A rule over windows is charged
+    with making them.  The shortest of three runs counts; the first compiles the
+    plan.
+    """
+    verdicts = repeated(x, parts).select(*[r.rejects.alias(f"r{i}") for i, r in enumerate(of)]).collect()  # of about SAMPLE rows
+    many = cut(x.withColumn(_apart(x, "_time"), F.explode(F.sequence(F.lit(1), F.lit(times)))), "rule-times")  # written, so that rules aren't tested before the rows repeat
+    read = (F.octet_length(F.coalesce("text", F.lit(""))) >= 0) & (F.size(parts.hashes) >= 0) & (F.size(parts.lines) >= 0)  # true; each job reads the same columns
+
+    def seconds(r: Rule) -> float:
+        tested = (repeated(many, parts) if r.windows else many).where(read & r.rejects)
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            tested.agg(F.count("*")).collect()  # another plan each time: one that has run keeps what its stages gave
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    nothing = seconds(Rule("", F.lit(True)))
+    return [max(seconds(r) - nothing, 1e-4) for r in of], [tuple(v) for v in verdicts]
+
+
+def ordered(sample: DataFrame, base: Sequence[Rule] = ()) -> list[str]:
+    """The names of base and production rules, each the one that rejects most per second of the sample's rows that those before leave; ties by cost, then name."""
+    x, parts = counted(sample)
+    of = [*base, *rules(parts)]
+    seconds, rows = costs(cut(x, "rule-sample"), parts, of)
+    return greedy([r.name for r in of], seconds, rows)
+
+
+def greedy(names: Sequence[str], seconds: Sequence[float], rows: list[tuple[bool, ...]]) -> list[str]:
+    out, left = [], list(range(len(names)))
+    while left:
+        rejected = {i: sum(v[i] for v in rows) for i in left}
+        best = min(left, key=lambda i: (-rejected[i] / seconds[i], seconds[i], names[i]))
+        out.append(names[best])
+        left.remove(best)
+        rows = [v for v in rows if not v[best]]
+    return out
 
 
 def cascade(of: Sequence[Rule]) -> Column:
@@ -108,17 +180,6 @@ def cascade(of: Sequence[Rule]) -> Column:
     return out
 
 
-def sampled(docs: DataFrame, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """Measures of at most `rows` texts of at most `chars` code points: they set the order of rules and nothing else.
-
-    They come to the driver from the first partitions that have them, and so
-    needn't pass through one task.
-    """
-    spark = docs.sparkSession
-    texts = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chars).select("text").take(rows)
-    return cut(measures(spark.createDataFrame([(r["text"],) for r in texts], "text string")), "rule-sample")
-
-
 def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs with measures, base_failed and kept (false if base_failed, else the cascade's verdict).
 
@@ -126,18 +187,28 @@ def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     empty result.  docs needs the column text; its other columns stay, and
     those named like a result are replaced.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_h", "_lines", "_w", "_s")
-    plain = docs.drop(*made)
-    order = ordered(sampled(plain, sample), rules())
-    return measures(plain).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & cascade(order))
+    plain = docs.drop(*MEASURES, "base_failed", "kept")
+    order = ordered(sampled(plain, sample))
+    x, parts = counted(plain)
+    by = {r.name: r for r in rules(parts)}
+    x = repeated(x, parts).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & cascade([by[n] for n in order]))
+    return x.select(*plain.columns, *MEASURES, "base_failed", "kept")
 
 
 def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns, whatever their names."""
+    """The rows of docs that judge() keeps, with their columns, whatever their names.
+
+    The base rules run in the cascade like any others: windows are made only of
+    documents that no rule before has rejected.
+    """
     own = [f"_own_{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index("text")
-    judged = judge(docs.toDF(*own).withColumn("text", F.col(own[at])), sample)
-    return judged.where("kept").select(*own).toDF(*docs.columns)
+    x = docs.toDF(*own).withColumn("text", F.col(own[docs.columns.index("text")]))
+    order = ordered(sampled(x, sample), base_rules())
+    x, parts = counted(x)
+    by = {r.name: r for r in [*base_rules(), *rules(parts)]}
+    for r in map(by.__getitem__, order):
+        x = (repeated(x, parts) if r.windows else x).where(~r.rejects)
+    return x.select(*own).toDF(*docs.columns)
 
 
 ORACLE = r"""

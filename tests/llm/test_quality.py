@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexora.llm import pairwise_quality, queries, rule_cascade
 from tests.compare import duck_rows, spark_rows
@@ -36,11 +37,40 @@ def test_measures(spark, odd, none):
 
 
 def test_order_of_rules_leaves_verdicts(spark, odd):
-    x = rule_cascade.measures(odd.drop("n_words", "kept"))
-    a = x.select(rule_cascade.cascade(rule_cascade.rules()).alias("v")).groupBy("v").count().collect()
-    b = x.select(rule_cascade.cascade(rule_cascade.rules()[::-1]).alias("v")).groupBy("v").count().collect()
+    x, parts = rule_cascade.counted(odd.drop("n_words", "kept").withColumn("_hashes", F.lit(1)).withColumn("_Words", F.lit(2)))
+    rules = rule_cascade.rules(parts)
+    a = x.select(rule_cascade.cascade(rules).alias("v")).groupBy("v").count().collect()
+    b = x.select(rule_cascade.cascade(rules[::-1]).alias("v")).groupBy("v").count().collect()
     assert sorted(a) == sorted(b) and all(r.v is not None for r in a)
-    assert {r.name for r in rule_cascade.ordered(x, rule_cascade.rules())} == {r.name for r in rule_cascade.rules()}
+    base = rule_cascade.base_rules()
+    assert sorted(rule_cascade.ordered(odd.select("text"), base)) == sorted(r.name for r in [*base, *rules])
+
+
+def test_order_is_by_rejections_per_second_of_what_is_left():
+    rows = [(True, True, False, False)] * 6 + [(False, True, False, False)] * 2 + [(False, False, True, False)] * 3
+    assert rule_cascade.greedy("abcd", [1.0, 2.0, 0.9, 0.1], rows) == ["a", "c", "b", "d"]  # after a, b rejects but 2 rows in 2 seconds; d none
+
+
+def test_measured_costs(spark):
+    df = spark.createDataFrame([(prose(i, 1500),) for i in range(300)], "text string").repartition(4).checkpoint()
+    x, parts = rule_cascade.counted(df)
+    every = [*rule_cascade.base_rules(), *rule_cascade.rules(parts)]
+    seconds, rows = rule_cascade.costs(x, parts, every)
+    by = dict(zip((r.name for r in every), seconds, strict=True))
+    assert by["repeated_words"] > 3 * by["few_words"] and len(rows) == 300 and not any(map(any, rows))
+
+
+def test_sample_is_of_all_partitions(spark):
+    df = spark.createDataFrame([(f"{i % 8} " + "y" * (40_000 if i % 2 else 20),) for i in range(4000)], "text string").repartition(8, "text")
+    got = rule_cascade.sampled(df, rows=400).collect()
+    assert 300 < len(got) < 500 and len({r.text for r in got}) == 8
+    assert rule_cascade.sampled(df.limit(5)).count() == 5
+
+
+def test_other_columns_stay(spark):
+    df = spark.createDataFrame([(1, prose(1, 50), 7, 8, 9, 10)], "doc_id long, text string, _h int, _lines int, _WINDOWS int, _words int")
+    got = rule_cascade.judge(df).first()
+    assert (got._h, got._lines, got._WINDOWS, got._words, got.kept) == (7, 8, 9, 10, True)
 
 
 def test_rules_keep_prose_and_drop_junk(spark):
