@@ -1,11 +1,13 @@
 """Similarity join of documents on word n-grams by a MinHash LSH forest, then exact verification.
 
-Each document has a label of DEPTH minima in each of TREES trees.  The labels
-of a tree, sorted, are a prefix trie; documents that share a prefix are
-neighbours in that order.  Prefixes are shortened from DEPTH until a pair at
-the threshold shares one in some tree with the target recall.  Documents that
-share a prefix are candidates; connected candidates are brought together once,
-and every pair of them is compared by its whole n-gram sets.
+Each text has a label of DEPTH minima in each of TREES trees.  The labels of a
+tree, sorted, are a prefix trie.  From full labels on, texts below one node are
+compared by their whole n-gram sets; then prefixes are shortened by a level,
+until the share of links found, as estimated from the similarities of those
+found so far, reaches the target recall.  Nodes whose texts are connected by
+verified links already, or that hold the same texts as another, aren't compared
+again.  Classes are the components of verified links alone; links are counted by
+comparing the texts of a class.
 
 Equal texts (equal word sequences) stand for each other throughout: one of
 them is signed, sorted and compared, with the number of its copies as weight.
@@ -18,18 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexora.llm.common import attach, cut
 from lexora.llm.components import components
 
-TREES, DEPTH = 16, 5
-#: Words of an n-gram, the least similarity of a link, and the share of links at that similarity that candidates must hold.
+TREES, DEPTH = 16, 6
+#: Words of an n-gram, the least similarity of a link, and the share of links that must be found.
 WORDS, LEAST, RECALL = 5, 0.8, 0.999
+#: Links at the least similarity that the estimate of recall takes for granted, so that few links don't stop the search.
+PRIOR = 20
 #: Documents and words of a block, as expected; a larger set of candidates is compared block by block.
-BLOCK, BLOCK_WORDS = 1024, 1 << 21
+BLOCK, BLOCK_WORDS = 512, 1 << 21
 #: Bytes of text that are hashed at once, and n-grams that are signed at once.
 SLICE, SIGNED = 1 << 20, 1 << 15
 
@@ -173,18 +176,25 @@ def labels(s: Shingled) -> list[bytes | None]:
     return out
 
 
-def depth(least: float = LEAST, recall: float = RECALL, trees: int = TREES, longest: int = DEPTH) -> int:
-    """The longest prefix by which a pair of similarity `least` meets in some tree with the target recall.
+def met(similarity: float, levels: int, trees: int = TREES) -> float:
+    """The probability that two texts share a prefix of so many levels in some tree."""
+    return 1 - (1 - similarity**levels) ** trees
 
-    A prefix of d levels is shared in a tree with probability least^d; from the
-    full label on it is shortened until 1 - (1 - least^d)^trees suffices.
-    """
+
+def depth(least: float = LEAST, recall: float = RECALL, trees: int = TREES, longest: int = DEPTH) -> int:
+    """The longest prefix by which any pair of similarity `least` meets with the target recall: shortening never goes further."""
     d = longest
-    while d > 1 and 1 - (1 - least**d) ** trees < recall:
+    while d > 1 and met(least, d, trees) < recall:
         d -= 1
     return d
 
 
+def estimated(links: dict[float, int], levels: int, least: float, prior: int = PRIOR) -> float:
+    """The share of links found at `levels`, from the numbers of links found by similarity: each stands for 1 / met() links."""
+    found = prior * met(least, levels) + sum(links.values())
+    return found / (prior + sum(n / met(s, levels) for s, n in links.items()))
+
+
 def _texts(b: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in b.column(b.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
@@ -201,7 +211,7 @@ def _batches(texts: list[bytes], most: int = 4 * SLICE) -> Iterator[tuple[int, i
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key, words and labels of every row (null: fewer words than an n-gram, so only equal texts are like it)."""
+    """doc_id, hash (of the text as it is), key, words and labels of every row (null: fewer words than an n-gram, so only equal texts are like it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,65 +219,74 @@ def signed(docs: DataFrame) -> DataFrame:
             for i, j in _batches(texts):
                 s = shingled(texts[i:j])
                 signs = [x if n >= WORDS else None for x, n in zip(labels(s), s.words, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(s.key.view(np.int64)), pa.array(s.words, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "key", "words", "labels"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(s.key.view(np.int64)), pa.array(s.words, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "hash", "key", "words", "labels"])
+
+    return _hashed_rows(docs).mapInArrow(run, "doc_id long, hash long, key long, words long, labels binary")
+
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, words long, labels binary")
+def _hashed_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("hash"), docs["text"].alias("text"))
 
 
-def candidates(texts: DataFrame, levels: int) -> DataFrame:
-    """Links (a, b) that connect the texts (key, labels) which share a prefix of `levels` in a tree.
+def trie(texts: DataFrame, least_levels: int) -> DataFrame:
+    """tree, label and key of the texts (key, labels) that share a prefix of `least_levels` with a neighbour in a tree's sorted labels.
 
-    The trees' labels are sorted over the whole cluster; each run of equal
-    prefixes links its texts to its first.  A run may span tasks, however
-    common the prefix is: of each task the first and the last prefix come to
-    the driver, which links the parts.
+    Labels are sorted over the whole cluster; texts under one prefix may span
+    tasks, however common it is.  The first and the last of a task are kept
+    whatever they share, as their neighbours lie elsewhere.
     """
-    spark = texts.sparkSession
     size = 4 * DEPTH
     each = texts.where("labels IS NOT NULL").select("key", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels")
     each = each.select(F.col("tree").cast("byte").alias("tree"), F.expr(f"substring(labels, tree * {size} + 1, {size})").alias("label"), "key")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    trie = each.repartitionByRange(parts, "tree", "label", "key").sortWithinPartitions("tree", "label", "key")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = each.repartitionByRange(parts, "tree", "label", "key").sortWithinPartitions("tree", "label", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
-        head = 0
-        part = TaskContext.get().partitionId()
-        names = ["kind", "part", "a", "b", "first", "last"]
+        held = None  # the row before, which may share a prefix with the next batch's first
         for b in batches:
             if not b.num_rows:
                 continue
-            key = b.column(2).to_numpy()
-            label = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(key), size)[:, : 4 * levels]
-            prefix = np.concatenate([b.column(0).to_numpy().astype(np.uint8)[:, None], label], axis=1)
-            new = np.ones(len(key), bool)
-            new[1:] = (prefix[1:] != prefix[:-1]).any(axis=1)
-            new[0] = last is None or prefix[0].tobytes() != last
-            heads = np.where(new, np.arange(len(key)), -1)
-            heads = np.maximum.accumulate(heads)
-            head_key = np.where(heads >= 0, key[heads.clip(min=0)], head)
-            if first is None:
-                first, first_key = prefix[0].tobytes(), int(key[0])
-            last, head = prefix[-1].tobytes(), int(head_key[-1])
-            at = np.flatnonzero(head_key != key)
-            n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(head_key[at]), pa.array(key[at]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
-        if first is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([part], pa.int32()), pa.array([first_key]), pa.array([head]), pa.array([first], pa.binary()), pa.array([last], pa.binary())], names=names)
-
-    runs = cut(trie.mapInArrow(run, "kind int, part int, a long, b long, first binary, last binary"), "runs")
-    ends = runs.where("kind = 1").orderBy("part").collect()  # one row for each task
-    across = [(p["b"], q["a"]) for p, q in zip(ends, ends[1:], strict=False) if p["last"] == q["first"]]
-    links = runs.where("kind = 0").select("a", "b")
-    return links.union(spark.createDataFrame(across, "a long, b long")) if across else links
-
-
-def _compared(sets: list[np.ndarray], block: np.ndarray, weight: np.ndarray, least: float, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each set the weight of the sets like it, and the first of those connected to it.
-
-    All are compared, or only those of different blocks (across).  Sizes of
-    intersections come from products of the incidence matrix of sets and
-    n-grams, a range of n-grams at a time.
+            t = pa.Table.from_batches([b])
+            edge = held is None
+            t = t if edge else pa.concat_tables([held, t])
+            label = np.frombuffer(b"".join(t.column("label").to_pylist()), np.uint8).reshape(t.num_rows, size)[:, : 4 * least_levels]
+            head = np.concatenate([t.column("tree").to_numpy().astype(np.uint8)[:, None], label], axis=1)
+            like = (head[1:] == head[:-1]).all(axis=1)
+            keep = np.concatenate([[edge], like]) | np.concatenate([like, [False]])
+            keep[0] |= not edge and before
+            before, held = bool(like[-1]) if len(like) else edge, t.slice(t.num_rows - 1)
+            yield from t.slice(0, t.num_rows - 1).filter(pa.array(keep[:-1])).combine_chunks().to_batches()
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    return ordered.mapInArrow(run, "tree byte, label binary, key long")
+
+
+def nodes(tries: DataFrame, roots: DataFrame, levels: int, trees: int = TREES) -> DataFrame:
+    """set and key of the texts below nodes of `levels`, for nodes that hold texts of several classes (key, root); equal sets once."""
+    at = tries.where(F.col("tree") < trees).select("tree", F.substring("label", 1, 4 * levels).alias("prefix"), "key").join(roots, "key", "left")
+    at = at.select("tree", "prefix", "key", F.coalesce("root", "key").alias("root"), F.xxhash64("key").alias("_x"))
+    least = [F.count("*").alias("n"), F.bit_xor("_x").alias("x"), F.min("root").alias("a"), F.max("root").alias("b")]
+    whole = [F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.min("a").alias("a"), F.max("b").alias("b")]
+    sized = attach(at, ["tree", "prefix"], F.col("key"), least, whole).where("a <> b")
+    return sized.select(F.xxhash64("n", "x").alias("set"), "key").distinct()
+
+
+@dataclass
+class Compared:
+    """Of each set: the weight of the sets like it, the first of those connected to it, the first one like it and that similarity (0: none)."""
+
+    weight: np.ndarray
+    first: np.ndarray
+    partner: np.ndarray
+    similarity: np.ndarray
+
+
+def _compared(sets: list[np.ndarray], block: np.ndarray, weight: np.ndarray, least: float, across: bool) -> Compared:
+    """Compare all sets, or only those of different blocks (across).
+
+    Sizes of intersections come from products of the incidence matrix of sets
+    and n-grams, a range of n-grams at a time.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
@@ -288,51 +307,75 @@ def _compared(sets: list[np.ndarray], block: np.ndarray, weight: np.ndarray, lea
     np.fill_diagonal(like, False)
     if across:
         like &= block[:, None] != block[None, :]
-    found, root = like @ weight, np.arange(n)
+    root, partner, rows = np.arange(n), like.argmax(axis=1), np.arange(n)
+    similarity = np.where(like[rows, partner], both[rows, partner] / np.maximum(union[rows, partner], 1), 0.0)
     while True:
         lower = np.minimum(root, np.where(like, root[None, :], n).min(axis=1))
         if (lower == root).all():
-            return found, root
+            return Compared(like @ weight, root, partner, similarity)
         root = lower
 
 
-def verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """key, links, first and parts for the members (key, rep, copies, root, block, blocks), by comparing whole sets of n-grams.
+def held(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """key, copies, words and grams (the set of n-gram hashes) of texts (key, rep, hash, copies, words), read from their rows in docs.
 
-    A set of candidates of one block is compared in one task; one of more
-    blocks in a task for each two of them, which gets only these blocks' texts.
+    A text's row is found by id and by a hash of the text, so that rows which
+    share an id, null or not, don't meet.
     """
-    spark = docs.sparkSession
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(members, F.col("doc_id").eqNullSafe(F.col("rep")))
-    texts = texts.select("key", "copies", "root", "block", "blocks", "text")
+    rows = _hashed_rows(docs)
+    chosen = texts.select(F.col("rep").alias("_rep"), F.col("hash").alias("_hash"), "key", "copies", "words")
+    found = rows.join(chosen, (F.col("hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_rep"))).select("key", "copies", "words", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows of this task
         for b in batches:
             raw = _texts(b, "text")
             for i, j in _batches(raw):
-                s, part = shingled(raw[i:j]), b.slice(i, j - i)
-                mine = s.key.view(np.int64) == part.column(0).to_numpy()  # not another text of the same doc_id
-                grams = [np.unique(s.grams[x:y]).tobytes() for x, y in zip(s.start[:-1], s.start[1:], strict=True)]
-                out = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(grams, pa.binary())], names=[*part.schema.names[:-1], "grams"])
-                yield out.filter(pa.array(mine))
-
-    held = texts.mapInArrow(sets, "key long, copies long, root long, block int, blocks int, grams binary")
+                part, s = b.slice(i, j - i), None
+                keys = part.column(0).to_numpy()
+                new = np.flatnonzero([k not in seen and not seen.add(k) for k in keys.tolist()])
+                if len(new):
+                    s = shingled([raw[i + x] for x in new])
+                    mine = s.key.view(np.int64) == keys[new]  # not another text of the same hash
+                    grams = [np.unique(s.grams[x:y]).tobytes() for x, y in zip(s.start[:-1], s.start[1:], strict=True)]
+                    out = part.take(pa.array(new))
+                    yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(grams, pa.binary())], names=[*out.schema.names[:-1], "grams"]).filter(pa.array(mine))
+                if len(seen) > 1 << 16:
+                    seen.clear()
+
+    return found.mapInArrow(sets, "key long, copies long, words long, grams binary")
+
+
+def verified(sets: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """key, links, first, partner, similarity and blocks for the members (set, key) of sets of texts, by comparing whole sets of n-grams (of held()).
+
+    A set of one block is compared in one task; one of more blocks in a task
+    for each two of them, which gets only these blocks' texts.
+    """
+    spark = sets.sparkSession
+    full = members.join(sets.select(F.col("key").alias("_key"), "copies", "words"), F.col("key") == F.col("_key")).drop("_key")
+    sized = attach(full, ["set"], F.col("key"), [F.count("*").alias("_n"), F.sum("words").alias("_w")], [F.sum("_n").alias("_n"), F.sum("_w").alias("_w")])
+    blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_w") / BLOCK_WORDS)).cast("int")
+    sized = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = held.select("key", "copies", "root", "block", "blocks", "grams", F.explode(other).alias("x"))
-    dealt = dealt.select("root", F.least("block", "x").alias("p"), F.greatest("block", "x").alias("q"), "key", "copies", "block", "blocks", "grams")
+    dealt = sized.select("set", "key", "copies", "block", "blocks").join(sets.select(F.col("key").alias("_key"), "grams"), F.col("key") == F.col("_key"))
+    dealt = dealt.select("set", "key", "copies", "block", "blocks", "grams", F.explode(other).alias("x"))
+    dealt = dealt.select("set", F.least("block", "x").alias("p"), F.greatest("block", "x").alias("q"), "key", "copies", "block", "blocks", "grams")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q", "key")
+    dealt = dealt.repartition(parts, "set", "p", "q").sortWithinPartitions("set", "p", "q", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared(rows: list[tuple]) -> Iterator[tuple]:
             rows = [r for r, before in zip(rows, [None, *rows], strict=False) if before is None or before[3] != r[3]]  # repeated rows
             if len(rows) > 1 or rows[0][6] > 1:
-                links, first = _compared([np.frombuffer(r[7], np.uint64) for r in rows], np.array([r[5] for r in rows]), np.array([r[4] for r in rows], np.int64), least, rows[0][1] != rows[0][2])
-                for r, n, f in zip(rows, links.tolist(), first.tolist(), strict=True):
-                    yield r[3], int(n), rows[f][3], r[6]
+                c = _compared([np.frombuffer(r[7], np.uint64) for r in rows], np.array([r[5] for r in rows]), np.array([r[4] for r in rows], np.int64), least, rows[0][1] != rows[0][2])
+                for r, n, f, p, s in zip(rows, c.weight.tolist(), c.first.tolist(), c.partner.tolist(), c.similarity.tolist(), strict=True):
+                    yield r[3], int(n), rows[f][3], rows[p][3], s, r[6]
+
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["key", "links", "first", "blocks"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["key", "links", "first", "partner", "similarity", "blocks"])
 
         group: list[tuple] = []
         out: list[tuple] = []
@@ -350,36 +393,58 @@ def verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
         if out:
             yield batch(out)
 
-    return dealt.mapInArrow(run, "key long, links long, first long, blocks int")
+    return dealt.mapInArrow(run, "key long, links long, first long, partner long, similarity double, blocks int")
 
 
 @dataclass
 class Classes:
-    """rows: doc_id, key, words and labels of every row; texts: key, copy_id, class_id, class_key and n_links of every different text."""
+    """texts: key, rep, hash (of the row that stands for equal texts), copies and words of every different text; roots: key and root of those with links; sets: held() of those with candidates."""
 
     rows: DataFrame
     texts: DataFrame
+    roots: DataFrame
+    sets: DataFrame
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (key, root) after links (a, b) between keys; only the roots that links touch are joined anew."""
+    of = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c)
+    at = links.select("a", "b").join(roots.toDF("a", "_a"), "a", "left").join(roots.toDF("b", "_b"), "b", "left").select(of("a"), of("b"))
+    new = components(at).toDF("_node", "_new")
+    known = roots.select("key", "root").union(new.select("_node", "_node")).distinct()
+    return known.join(new, F.col("root") == F.col("_node"), "left").groupBy("key").agg(F.min(F.coalesce("_new", "root")).alias("root"))
 
 
 def classes(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -> Classes:
+    """The search: comparing below full labels of one tree, then of all, then of shorter and shorter prefixes."""
     rows = cut(signed(docs), "signed")
-    copies = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("words").alias("words"), F.max("labels").alias("labels"))
-    copies = cut(copies, "texts")
-    near = cut(components(candidates(copies, depth(least, recall))), "near")
-    members = cut(copies.drop("labels").join(near, copies["key"] == near["node"]).drop("node"), "members")
-    sized = attach(members, ["root"], F.col("key"), [F.count("*").alias("_n"), F.sum("words").alias("_w")], [F.sum("_n").alias("_n"), F.sum("_w").alias("_w")])
-    blocks = F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_w") / BLOCK_WORDS)).cast("int")
-    sized = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    found = cut(verified(docs, sized.select("key", "rep", "copies", "root", "block", "blocks"), least), "found")
-    linked = found.groupBy("key").agg(F.sum("links").alias("links"), F.min(F.when(F.col("blocks") == 1, F.col("first"))).alias("first"))
-    split = components(found.where("blocks > 1").select(F.col("key").alias("a"), F.col("first").alias("b")))
-    linked = linked.join(split, linked["key"] == split["node"], "left").select("key", "links", F.coalesce("root", "first", "key").alias("class"))
-    linked = cut(linked.join(members.select("key", "rep"), "key"), "linked")
-    order = F.struct(F.col("rep").isNull().alias("none"), "rep", "key")
-    named = attach(linked, ["class"], F.col("key"), [F.min(order).alias("_r")], [F.min("_r").alias("_r")])
-    known = copies.select("key", "rep", "copies").join(named.select("key", "links", F.col("_r.rep").alias("class_id"), F.col("_r.key").alias("class_key")), "key", "left")
-    known = known.select("key", F.col("rep").alias("copy_id"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return Classes(rows, cut(known, "known"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), "hash")
+    texts = rows.groupBy("key").agg(F.min(order).alias("_r"), F.count("*").alias("copies"), F.max("words").alias("words"), F.max("labels").alias("labels"))
+    texts = cut(texts.select("key", "_r.rep", "_r.hash", "copies", "words", "labels"), "texts")
+    shortest = depth(least, recall)
+    tries = cut(trie(texts, shortest), "trie")
+    # a text alone at the edge of a task isn't a candidate
+    shared = attach(tries.withColumn("_p", F.substring("label", 1, 4 * shortest)), ["tree", "_p"], F.col("key"), [F.count("*").alias("_n")], [F.sum("_n").alias("_n")])
+    tries = cut(shared.where("_n > 1").select("tree", "label", "key"), "candidates")
+    texts = texts.drop("labels")
+    sets = cut(held(docs, texts.join(tries.select("key").distinct(), "key", "left_semi")), "sets")
+    roots = docs.sparkSession.createDataFrame([], "key long, root long")
+    links = docs.sparkSession.createDataFrame([], "a long, b long, s double")
+    for levels, trees in [(DEPTH, 1), *((d, TREES) for d in range(DEPTH, shortest - 1, -1))]:
+        members = cut(nodes(tries, roots, levels, trees), "members")
+        found = cut(verified(sets, members, least).where("similarity > 0").select("key", "first", "partner", "similarity"), "found")
+        if found.limit(1).count():
+            roots = cut(_merged(roots, found.where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))), "roots")
+        links = links.union(found.select(F.least("key", "partner"), F.greatest("key", "partner"), F.round("similarity", 3))).distinct()
+        if trees == TREES and estimated({r["s"]: r["count"] for r in links.groupBy("s").count().collect()}, levels, least) >= recall:  # at most a thousand similarities
+            break
+    return Classes(rows, texts, roots, sets)
+
+
+def _named(c: Classes) -> DataFrame:
+    """key and class_row (rep and hash of the class's first row) of the texts with links."""
+    linked = c.roots.join(c.texts, "key").select("key", "root", F.struct(F.col("rep").isNull().alias("none"), "rep", "hash").alias("_o"))
+    return attach(linked, ["root"], F.col("key"), [F.min("_o").alias("_m")], [F.min("_m").alias("_m")]).select("key", F.col("_m.rep").alias("class_rep"), F.col("_m.hash").alias("class_hash"), F.lit(True).alias("in_class"))
 
 
 def join(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -> DataFrame:
@@ -395,30 +460,27 @@ def join(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -> DataF
     * An empty table gives an empty result; columns other than doc_id and text aren't read.
     """
     c = classes(docs, least, recall)
-    return c.rows.select("doc_id", "key").join(c.texts, "key").select("doc_id", "class_id", "copy_id", "n_links")
+    counts = verified(c.sets, c.roots.select(F.col("root").alias("set"), "key"), least).groupBy("key").agg(F.sum("links").alias("links"))
+    known = c.texts.join(cut(_named(c), "named"), "key", "left").join(cut(counts, "links"), "key", "left")
+    class_id = F.when(F.col("in_class"), F.col("class_rep")).otherwise(F.col("rep"))
+    known = known.select("key", F.col("rep").alias("copy_id"), class_id.alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return c.rows.select("doc_id", "key").join(cut(known, "known"), "key").select("doc_id", "class_id", "copy_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -> DataFrame:
     """The rows of docs that stand for their class: of each class the row of the smallest doc_id; all columns stay.
 
     Nulls, short texts and repeated rows are as in join(); of rows equal in
-    doc_id and words one stays.
+    doc_id and text one stays, and so of rows with one doc_id and equal words.
     """
     c = classes(docs, least, recall)
+    known = c.texts.join(cut(_named(c), "named"), "key", "left")
+    best = known.where(F.col("in_class").isNull() | (F.col("rep").eqNullSafe(F.col("class_rep")) & (F.col("hash") == F.col("class_hash")))).select(F.col("rep").alias("_rep"), F.col("hash").alias("_hash"))
+    best = cut(best, "best")
     own = [f"_own_{i}" for i in range(len(docs.columns))]
-    text, doc_id = own[docs.columns.index("text")], F.col(own[docs.columns.index("doc_id")])
-    rows = docs.toDF(*own)
-    schema = rows.withColumn("_key", F.lit(0).cast("long")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = _texts(b, text)
-            for i, j in _batches(raw):
-                part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shingled(raw[i:j]).key.view(np.int64))], names=[*part.schema.names, "_key"])
-
-    best = c.texts.where("key = class_key").select("key", "copy_id")
-    kept = rows.mapInArrow(run, schema).join(best, (F.col("_key") == F.col("key")) & doc_id.cast("long").eqNullSafe(F.col("copy_id")), "left_semi")
-    if c.rows.groupBy("doc_id", "key").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([own[docs.columns.index("doc_id")], "_key"])
+    text, doc_id = F.col(own[docs.columns.index("text")]), F.col(own[docs.columns.index("doc_id")])
+    rows = docs.toDF(*own).withColumns({"_i": doc_id.cast("long"), "_h": F.xxhash64(F.coalesce(text, F.lit("")))})
+    kept = rows.join(best, (F.col("_h") == F.col("_hash")) & F.col("_i").eqNullSafe(F.col("_rep")), "left_semi")
+    if c.rows.groupBy("doc_id", "hash").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_i", "_h"])
     return kept.select(*own).toDF(*docs.columns)

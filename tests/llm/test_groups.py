@@ -81,8 +81,51 @@ def test_hashes_are_of_words_alone():
 
 
 def test_depth_is_shortened_to_the_recall():
-    assert lsh_forest.depth(0.8, 0.999) == 4 and lsh_forest.depth(0.8, 0.99) == 5 and lsh_forest.depth(0.5, 0.98) == 2 and lsh_forest.depth(0.01, 0.999) == 1
-
+    assert lsh_forest.depth(0.8, 0.999) == 4 and lsh_forest.depth(0.8, 0.998) == 5 and lsh_forest.depth(0.8, 0.99) == 6 and lsh_forest.depth(0.5, 0.98) == 2 and lsh_forest.depth(0.01, 0.999) == 1
+
+
+def test_recall_is_estimated_from_links_found():
+    """Drawn links of known similarities, found by chance as trees share prefixes: the estimate is near the true share."""
+    r = random.Random(4)
+    for levels in (6, 5, 4):
+        found, all_ = Counter(), 0
+        for _ in range(40_000):
+            s = r.choice([0.8, 0.82, 0.9, 0.97])
+            all_ += 1
+            if any(r.random() < s**levels for _ in range(lsh_forest.TREES)):
+                found[s] += 1
+        assert lsh_forest.estimated(found, levels, 0.8) == pytest.approx(sum(found.values()) / all_, abs=0.002)
+    assert lsh_forest.estimated({}, 6, 0.8) < 0.999 <= lsh_forest.estimated({}, 4, 0.8) and lsh_forest.estimated({1.0: 10_000}, 6, 0.8) > 0.999
+
+
+def test_prefixes_are_shortened_as_far_as_links_need(spark, monkeypatch):
+    """Close copies are found below long prefixes; far ones need short ones."""
+    used = []
+    nodes = lsh_forest.nodes
+    monkeypatch.setattr(lsh_forest, "nodes", lambda tries, roots, levels, trees=lsh_forest.TREES: used.append(levels) or nodes(tries, roots, levels, trees))
+
+    def edited(i, k):
+        words = prose(i, 190).split()
+        for j in range(k):
+            words[5 + 9 * j] = f"x{i}y{j}"
+        return " ".join(words)
+
+    for edits, last in ((0, 5), (1, 6), (4, 4)):
+        docs = [(2 * i, prose(i, 190)) for i in range(250 if edits else 40)] + [(2 * i + 1, edited(i, edits) + (" end" if not edits else "")) for i in range(250 if edits else 40)]
+        used.clear()
+        rows = lsh_forest.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert used[-1] == last and all(r.class_id == r.doc_id // 2 * 2 for r in rows) and all(r.n_links == 1 for r in rows)
+
+
+def test_null_and_repeated_ids_are_like_others(spark):
+    """A table whose ids are all null, or one, gives the classes of the same texts under ids of their own."""
+    docs = [(i, prose(i % 260, 60) + (" more" if i >= 260 else "")) for i in range(520)]
+    want = Counter(r.n_links for r in lsh_forest.join(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    for same in (None, 7):
+        df = spark.createDataFrame([(same, t) for _, t in docs] + [(same, "one row many times over and over")] * 900, "doc_id long, text string")
+        got = Counter(r.n_links for r in lsh_forest.join(df).collect())
+        assert got == want + Counter({899: 900})
+        assert lsh_forest.one_of_each(df).count() == 261
 
 def test_join_tables(spark, odd, none):
     got = sorted((tuple(r) for r in lsh_forest.join(odd).collect()), key=str)
