@@ -13,13 +13,13 @@ from lexora.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def _pattern() -> str:
+def pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
@@ -34,7 +34,7 @@ def op2_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _pattern())
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), pattern())
 
 
 def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op7_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix_bpe.digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), _pattern())
+    return matrix_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
 
 def op9_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
