@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexora.llm import lsh_forest, packing, pairwise_quality, rule_cascade
 from lexora.llm.common import cut, table
-from lexora.llm.queries import _pattern, _vocabulary
+from lexora.llm.queries import pattern, vocabulary
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
-    return packing.pack(docs, _vocabulary("byte_bpe_50k.json"), _pattern())
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), pattern())
 
 
 STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules), ("ngram_jaccard_join", ngram_jaccard_join), ("packing", pack)]
