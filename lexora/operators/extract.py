@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lexora.constants import BLANK, BLOCK, SCRIPTS, UNSEEN
+from lexora.functions.arrays import starts
 from lexora.functions.text import is_blank, runs, sentences
 
 # Character references that pages hold; "&" comes last.
@@ -49,9 +49,10 @@ def run_rows(rows: DataFrame, keys: list[str], script: str = "han", text: str =
 
 def placed(texts: DataFrame, pattern: str, keys: list[str], text: str = "text") -> DataFrame:
     """keys, part_no, part, start and end of the consecutive parts of text that match pattern, which must cover it."""
-    each = texts.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("part_no", "part"))
-    upto = F.sum(F.length("part")).over(W.partitionBy(*keys).orderBy("part_no").rowsBetween(W.unboundedPreceding, 0))
-    return each.withColumn("end", upto).withColumn("start", F.col("end") - F.length("part"))
+    parts = texts.select(*keys, F.inline(F.array(F.struct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("_parts")))))
+    at = starts(F.transform("_parts", lambda x: F.length(x)))
+    each = parts.select(*keys, F.posexplode(F.arrays_zip(F.col("_parts").alias("part"), at.alias("start"))).alias("part_no", "_p"))
+    return each.select(*keys, "part_no", "_p.part", (F.col("_p.start") + F.length("_p.part")).alias("end"), "_p.start")
 
 
 def placed_runs(texts: DataFrame, keys: list[str], script: str = "han", text: str = "text") -> DataFrame:

@@ -189,20 +189,10 @@ def link_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.withColumn("_l", share.linked(F.col("url"))).select("entry_id", "url", "_l.trad", "_l.simp")
 
 
-@query(f"SELECT doc_id, {encoded_sql('left(text, 200)')} AS encoded, replace(replace(replace(replace(left(text, 200), chr(92), chr(92) || chr(92)), '`', chr(92) || '`'), '$', chr(92) || '$'), chr(13), '') AS quoted FROM documents")
-def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 characters of each document, as its SQL has them; encoded_whole_texts has the whole texts."""
-    return _encoded(spark, sf_dir, F.left("text", F.lit(200)))
-
-
 @query(f"SELECT doc_id, {encoded_sql('text')} AS encoded, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '`', chr(92) || '`'), '$', chr(92) || '$'), chr(13), '') AS quoted FROM documents")
-def encoded_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's whole text, percent-encoded and as a template literal."""
-    return _encoded(spark, sf_dir, F.col("text"))
-
-
-def _encoded(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", percent_encoded(text).alias("encoded"), quoted(text).alias("quoted"))
+    return table(spark, sf_dir, "documents").select("doc_id", percent_encoded(F.col("text")).alias("encoded"), quoted(F.col("text")).alias("quoted"))
 
 
 _TEMPLATES = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in share.TEMPLATES)

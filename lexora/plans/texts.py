@@ -12,16 +12,11 @@ from lexora.functions.text import runs as runs_of
 from lexora.operators import dictionary as dic
 from lexora.operators import extract, segment
 from lexora.plans.registry import longs, query, table
+from lexora.shared import cut
 
 # ---- SQL parts
 
 LATIN_SQL = """
-tok AS (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS run FROM documents WHERE lang = 'en'),
-freq AS (SELECT run, count(*) AS n FROM tok GROUP BY run),
-words AS (SELECT run AS word FROM freq WHERE length(run) <= 6 AND n >= 20),
-runs AS (SELECT run FROM freq WHERE length(run) BETWEEN 7 AND 14)"""
-
-ALL_LATIN_SQL = """
 tok AS (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS run FROM documents),
 freq AS (SELECT run, count(*) AS n FROM tok GROUP BY run),
 words AS (SELECT run AS word FROM freq WHERE length(run) <= 6 AND n >= 20),
@@ -54,25 +49,15 @@ seg AS (SELECT run, tokens, best[length(run) + 1] AS score2 FROM bt WHERE pos =
 
 
 def _latin(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Runs of 7 to 14 letters of the English documents, as LATIN_SQL has them, and the frequent shorter ones as a dictionary."""
-    freq = _frequencies(table(spark, sf_dir, "documents").where("lang = 'en'"))
-    return freq.where("length(run) BETWEEN 7 AND 14").select("run"), _frequent(freq)
-
-
-def _all_latin(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All runs of all documents, and the frequent ones that a dictionary word can be as long as."""
-    freq = _frequencies(table(spark, sf_dir, "documents"))
-    return freq.select("run"), _frequent(freq)
+    """All runs of all documents, and the frequent ones that a dictionary word can be as long as; their numbers are written, as both are read from them."""
+    freq = cut(_frequencies(table(spark, sf_dir, "documents")), "runs")
+    return freq.select("run"), freq.where("length(run) <= 6 AND n >= 20").select(F.col("run").alias("word"))
 
 
 def _frequencies(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(runs_of(F.col("text"), "latin")).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
 
 
-def _frequent(freq: DataFrame) -> DataFrame:
-    return freq.where("length(run) <= 6 AND n >= 20").select(F.col("run").alias("word"))
-
-
 def han_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.han_documents(table(spark, sf_dir, "documents"))
 
@@ -94,11 +79,6 @@ def segment_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segmented(segment.segment(*_latin(spark, sf_dir)))
 
 
-@query(f"WITH RECURSIVE {ALL_LATIN_SQL}, {SEGMENT_SQL} SELECT run, array_to_string(tokens, '·') AS segmented, score2 FROM seg")
-def segment_all_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segmented(segment.segment(*_all_latin(spark, sf_dir)))
-
-
 @query(f"WITH RECURSIVE {HAN_RUNS_SQL}, {SEGMENT_SQL} SELECT run, array_to_string(tokens, '·') AS segmented, score2 FROM seg")
 def segment_han(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segmented(segment.segment(*_han(spark, sf_dir)))
@@ -109,11 +89,6 @@ def segment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(segment.edges(*_latin(spark, sf_dir)), "i", "j", "score2")
 
 
-@query(f"WITH {ALL_LATIN_SQL}, {EDGES_SQL} SELECT run, i, j, piece, CAST(score2 AS BIGINT) AS score2 FROM e")
-def segment_edges_all_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(segment.edges(*_all_latin(spark, sf_dir)), "i", "j", "score2")
-
-
 _OFFSETS = """
 w AS (SELECT run, unnest(range(0, len(tokens))) AS word_no, unnest(tokens) AS word FROM seg)
 SELECT run, word_no, word, CAST(sum(length(word)) OVER p - length(word) AS BIGINT) AS "start", CAST(sum(length(word)) OVER p AS BIGINT) AS "end"
@@ -125,41 +100,23 @@ def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(segment.word_spans(segment.segment(*_latin(spark, sf_dir)), ["run"]), "word_no", "start", "end")
 
 
-@query(f"WITH RECURSIVE {ALL_LATIN_SQL}, {SEGMENT_SQL},{_OFFSETS}")
-def word_offsets_all_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(segment.word_spans(segment.segment(*_all_latin(spark, sf_dir)), ["run"]), "word_no", "start", "end")
-
-
 @query(f"WITH RECURSIVE {LATIN_SQL}, {SEGMENT_SQL}, w AS (SELECT unnest(tokens) AS word FROM seg) SELECT word, count(*) AS n FROM w GROUP BY word")
 def word_frequency_of_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = segment.segment(*_latin(spark, sf_dir)).select(F.explode("tokens").alias("word"))
     return tokens.groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH RECURSIVE {ALL_LATIN_SQL}, {SEGMENT_SQL}, w AS (SELECT unnest(tokens) AS word FROM seg) SELECT word, count(*) AS n FROM w GROUP BY word")
-def word_frequency_of_all_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = segment.segment(*_all_latin(spark, sf_dir)).select(F.explode("tokens").alias("word"))
-    return tokens.groupBy("word").agg(F.count("*").alias("n"))
-
-
-@query(f"""WITH {LATIN_SQL} SELECT run, left(run, 3) || '|' || substr(run, 4, 2) AS words, substr(run, 6) AS rest FROM runs""")
-def word_wrapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words by lengths: 3, a skipped 0, 2, and one beyond the end; the rest stays as it is."""
-    runs, _ = _latin(spark, sf_dir)
-    return _wrapped(runs)
-
-
-@query(f"""WITH {ALL_LATIN_SQL}, n AS (SELECT run, length(run) AS n FROM runs)
+@query(f"""WITH {LATIN_SQL}, n AS (SELECT run, length(run) AS n FROM runs)
 SELECT run, CASE WHEN n < 3 THEN '' ELSE left(run, 3) END || CASE WHEN n < 5 THEN '' ELSE '|' || substr(run, 4, 2) END || CASE WHEN n < 104 THEN '' ELSE '|' || substr(run, 6, 99) END || CASE WHEN n < 105 THEN '' ELSE '|' || substr(run, 105, 1) END AS words,
        substr(run, CASE WHEN n < 3 THEN 1 WHEN n < 5 THEN 4 WHEN n < 104 THEN 6 WHEN n < 105 THEN 105 ELSE 106 END) AS rest FROM n""")
-def word_wrapping_all_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs, _ = _all_latin(spark, sf_dir)
+def word_wrapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs, _ = _latin(spark, sf_dir)
     return _wrapped(runs)
 
 
 def _wrapped(runs: DataFrame) -> DataFrame:
-    cut = segment.wrapped(F.col("run"), F.array(*map(F.lit, (3, 0, 2, 99, 1))))
-    return runs.select("run", F.inline(F.array(cut))).select("run", F.array_join("words", "|").alias("words"), "rest")
+    wrapped = segment.wrapped(F.col("run"), F.array(*map(F.lit, (3, 0, 2, 99, 1))))
+    return runs.select("run", F.inline(F.array(wrapped))).select("run", F.array_join("words", "|").alias("words"), "rest")
 
 
 # ---- sentences and runs
