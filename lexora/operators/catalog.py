@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexora.functions.text import trimmed
+from lexora.shared import cut
 
 BOOK = "id string, title string, authors array<string>, canonical_id string, book_file string, cover_file string, import_seq long"
 FIELDS = ("id", "title", "authors", "canonical_id", "book_file", "cover_file")
@@ -19,8 +20,7 @@ def imported(catalog: DataFrame | None, batch: DataFrame) -> DataFrame:
 
     Null ids equal each other, so of books without one only the first is ever kept.
     """
-    first = F.row_number().over(W.partitionBy("canonical_id").orderBy("import_seq"))
-    new = batch.withColumn("_n", first).where("_n = 1").drop("_n")
+    new = batch.groupBy("canonical_id").agg(F.min_by(F.struct(*batch.columns), F.struct("import_seq", "id")).alias("_r")).select("_r.*")
     if catalog is None:
         return new
     known = catalog.select(F.col("canonical_id").alias("_known")).distinct()
@@ -35,18 +35,25 @@ def incoming(metadata: DataFrame, first_seq: int = 0) -> DataFrame:
 
 
 def updated(catalog: DataFrame, changes: DataFrame) -> DataFrame:
-    """catalog with the rows of changes in place of those with the same id; changes of other ids do nothing."""
-    by = changes.select(*[F.col(c).alias(f"_{c}") for c in FIELDS], F.lit(True).alias("_hit"))
-    x = catalog.join(by, F.col("id") == F.col("_id"), "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
-    return x.select(*[F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in FIELDS], "import_seq")
+    """catalog with changes put in place: of each id the last change, by import_seq, replaces the first book of that id.
+
+    Changes of other ids do nothing; further books of the id stay as they are.
+    """
+    last = changes.groupBy("id").agg(F.max_by(F.struct(*FIELDS), F.struct("import_seq", *FIELDS)).alias("_c"))
+    by = last.select(F.col("id").alias("_id"), "_c")
+    first = F.row_number().over(W.partitionBy("id").orderBy("import_seq")) == 1
+    x = catalog.withColumn("_first", first).join(by, F.col("id") == F.col("_id"), "left")
+    hit = F.col("_c").isNotNull() & F.col("_first")
+    return x.select(*[F.when(hit, F.col(f"_c.{c}")).otherwise(F.col(c)).alias(c) for c in FIELDS], "import_seq")
 
 
 def removed(catalog: DataFrame, rows: DataFrame) -> DataFrame:
-    """catalog without the rows that equal one of rows in every field, nulls included."""
-    gone = rows.select(*[F.col(c).alias(f"_{c}") for c in FIELDS])
+    """catalog without, for each of rows, the first book (by import_seq) that equals it in every field, nulls included."""
+    gone = rows.groupBy(*FIELDS).agg(F.count("*").alias("_times")).select("_times", *[F.col(c).alias(f"_{c}") for c in FIELDS])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FIELDS])
-    return catalog.join(gone, same, "left_anti")
+    nth = F.row_number().over(W.partitionBy(*FIELDS).orderBy("import_seq"))
+    x = catalog.withColumn("_nth", nth).join(gone, same, "left")
+    return x.where(F.col("_nth") > F.coalesce("_times", F.lit(0))).select(*catalog.columns)
 
 
 def deleted_files(rows: DataFrame) -> DataFrame:
@@ -55,8 +62,8 @@ def deleted_files(rows: DataFrame) -> DataFrame:
 
 
 def renamed(catalog: DataFrame, titles: DataFrame) -> DataFrame:
-    """catalog with the trimmed titles of (id, title)."""
-    by = titles.select(F.col("id").alias("_id"), trimmed(F.col("title")).alias("_title"))
+    """catalog with the trimmed titles of (id, title); of an id's titles the greatest counts."""
+    by = titles.groupBy(F.col("id").alias("_id")).agg(F.max(trimmed(F.col("title"))).alias("_title"))
     return catalog.join(by, F.col("id") == F.col("_id"), "left").withColumn("title", F.coalesce("_title", "title")).drop("_id", "_title")
 
 
@@ -68,11 +75,17 @@ def listed(catalog: DataFrame) -> DataFrame:
 
 
 def with_covers(catalog: DataFrame, files: DataFrame) -> DataFrame:
-    """catalog with cover, the content of the file of that name; null without one."""
-    by = files.select(F.substring_index("path", "/", -1).alias("_file"), F.col("content").alias("cover"))
+    """catalog with cover, the content of the file of that name (of several, of the first path); null without one."""
+    by = files.groupBy(F.substring_index("path", "/", -1).alias("_file")).agg(F.min_by("content", "path").alias("cover"))
     return catalog.join(by, F.col("cover_file") == F.col("_file"), "left").drop("_file")
 
 
+def located(catalog: DataFrame, base: str) -> DataFrame:
+    """catalog with book_path and cover_path, where the files are below the folder base; null without a file."""
+    below = lambda folder, name: F.concat(F.lit(f"{base.rstrip('/')}/{folder}/"), F.col(name))
+    return catalog.withColumns({"book_path": below("Books", "book_file"), "cover_path": below("Covers", "cover_file")})
+
+
 def encoded(catalog: DataFrame) -> DataFrame:
     return catalog.select("import_seq", F.to_json(F.struct(*FIELDS)).alias("json"))
 
@@ -123,6 +136,12 @@ def tenths(value: Column) -> Column:
     return F.format_string("%.1f", value)
 
 
+def toggled(value: Column, enum: str) -> Column:
+    """The other value of an enum of two: the first becomes the second, anything else the first."""
+    first, second = ENUMS[enum]
+    return F.when(value == first, F.lit(second)).otherwise(F.lit(first))
+
+
 def enum_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(e, v, SHOWN[v], i) for e, values in ENUMS.items() for i, v in enumerate(values)], "enum string, value string, display string, ord long")
 
@@ -159,6 +178,7 @@ def flattened(toc: DataFrame) -> DataFrame:
         depth += 1
         level = level.join(children, (F.col("book_id") == F.col("_book")) & (F.col("node_id") == F.col("parent_id")))
         level = level.select("book_id", F.col("_node").alias("node_id"), F.lit(depth).alias("depth"), F.col("_label").alias("href_or_id"), F.col("_title").alias("title"), F.concat("path", F.lit("/"), "_pos").alias("path"))
+        level = cut(level, "contents")  # the next level starts from what is written, not from all levels before
         if not level.limit(1).count():
             return out.withColumn("ordinal", F.row_number().over(W.partitionBy("book_id").orderBy("path")) - 1).drop("path")
         out = out.unionByName(level)

@@ -49,6 +49,20 @@ def changed(events: DataFrame, key: str, value: str) -> DataFrame:
     return x.where(F.col("_before").isNull() | ~F.col(f"_before.{value}").eqNullSafe(F.col(value))).drop("_before")
 
 
+def hits(events: DataFrame, key: str, hit: Column, clear: Column) -> DataFrame:
+    """Events whose hit differs from the one in force; an empty hit (null or "") and a clear leave none in force and aren't given."""
+    w = W.partitionBy(key).orderBy(*ORDER)
+    value = F.when(~F.coalesce(clear, F.lit(False)) & (hit != ""), hit)
+    x = events.withColumn("hit", value).withColumn("_is", F.col("hit").isNotNull() | clear | hit.isNull() | (hit == ""))
+    x = x.where("_is").withColumn("_before", F.lag("hit").over(w))
+    return x.where(F.col("hit").isNotNull() & ~F.col("hit").eqNullSafe(F.col("_before"))).drop("_is", "_before")
+
+
+def last_runs(events: DataFrame, key: str, run: Column) -> DataFrame:
+    """The run that each key last touched; touches without one leave it as it was."""
+    return latest(events.withColumn("run", run).where("run IS NOT NULL"), key, "run")
+
+
 def taps(events: DataFrame, key: str, press: Column, tap: Column, seconds: float) -> DataFrame:
     """Taps with suppressed: whether one follows the end of the last press by less than `seconds`, and no tap came between."""
     w = W.partitionBy(key).orderBy(*ORDER)

@@ -9,14 +9,37 @@ from lexora.constants import BLANK, BLOCK, SCRIPTS, UNSEEN
 from lexora.functions.arrays import starts
 from lexora.functions.text import is_blank, runs, sentences
 
-# Character references that pages hold; "&" comes last.
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+# Character references that SQL twins replace; "&" comes last.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+_REFERENCE = r"&#[xX]?[0-9a-fA-F]+;|&[A-Za-z][A-Za-z0-9]*;"
+
+
+def _named() -> Column:
+    """All named references of HTML that end in ";", as one constant, by way of the standard library's table."""
+    from html.entities import html5
+
+    both = [(k[:-1], v) for k, v in sorted(html5.items()) if k.endswith(";")]
+    return F.map_from_arrays(F.split(F.lit(" ".join(k for k, _ in both)), " "), F.split(F.lit("\x02".join(v for _, v in both)), "\x02"))
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; U+FFFD for none, as browsers have it."""
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
 def decoded(s: Column) -> Column:
-    for a, b in REFERENCES:
-        s = F.replace(s, F.lit(a), F.lit(b))
-    return s
+    """s with character references, numeric and named, as the characters they stand for; unknown names stay as they are."""
+    names = _named()
+
+    def one(r: Column) -> Column:
+        inner = F.substring(r, F.lit(2), F.length(r) - 2)
+        number = F.when(F.lower(F.substring(inner, 2, 1)) == "x", F.conv(F.substring(inner, F.lit(3), F.length(inner)), 16, 10)).otherwise(F.substring(inner, F.lit(2), F.length(inner)))
+        return F.when(F.startswith(inner, F.lit("#")), _character(F.expr("0").cast("bigint") + number.try_cast("bigint"))).otherwise(F.coalesce(F.try_element_at(names, inner), r))
+
+    texts, found = F.split(s, _REFERENCE, -1), F.regexp_extract_all(s, F.lit(_REFERENCE), F.lit(0))
+    whole = F.concat_ws("", F.flatten(F.zip_with(texts, F.transform(found, one), lambda t, r: F.array(t, r))))
+    return F.when(F.instr(s, "&") > 0, whole).otherwise(s)
 
 
 def text_nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -43,6 +66,11 @@ def sentence_rows(texts: DataFrame, keys: list[str], text: str = "text") -> Data
     return texts.select(*keys, F.posexplode(sentences(F.col(text))).alias("sent_no", "sentence"))
 
 
+def once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each block, however often it was taken in: which one of repeated ones is no matter, as they are equal."""
+    return rows.dropDuplicates(keys)
+
+
 def run_rows(rows: DataFrame, keys: list[str], script: str = "han", text: str = "sentence") -> DataFrame:
     return rows.select(*keys, F.posexplode(runs(F.col(text), script)).alias("run_no", "run"))
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lexora.operators import catalog as cat
 from lexora.plans.registry import longs, query, table
-from lexora.sources import epub
+from lexora.shared import fresh
+from lexora.sources import epub, stores
 
 BOOKS = """books AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS title,
   CASE p_partkey % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [p_brand] ELSE [p_brand, p_type] END AS authors,
@@ -74,6 +75,65 @@ def deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.deleted_files(_catalog(spark, sf_dir).where("import_seq % 10 IN (3, 4)"))
 
 
+_TWICE = "t AS (SELECT * FROM k UNION ALL SELECT * REPLACE (import_seq + 100000 AS import_seq) FROM k WHERE import_seq % 4 = 0)"
+
+
+def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog with every fourth book twice."""
+    c = _catalog(spark, sf_dir)
+    return c.unionByName(c.where("import_seq % 4 = 0").withColumn("import_seq", F.col("import_seq") + 100000))
+
+
+@query(f"""WITH {BOOKS}, {_KEPT}, {_TWICE} SELECT id, CASE WHEN import_seq < 100000 AND import_seq % 6 = 0 THEN 'last' ELSE title END AS title, import_seq FROM t""")
+def book_update_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several changes of one id, the last of which counts; of books with one id the first is changed."""
+    c = _catalog(spark, sf_dir).where("import_seq % 6 = 0")
+    changes = c.withColumn("title", F.lit("zero")).unionByName(c.withColumns({"title": F.lit("last"), "import_seq": F.col("import_seq") + 1}))
+    return cat.updated(_twice(spark, sf_dir), changes).select("id", "title", "import_seq")
+
+
+@query(f"""WITH {BOOKS}, {_KEPT}, {_TWICE} SELECT id, import_seq FROM t WHERE NOT (import_seq < 100000 AND import_seq % 12 IN (0, 1)) AND NOT (import_seq >= 100000 AND (import_seq - 100000) % 24 = 0)""")
+def book_delete_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delete takes the first of equal books; two deletes take two."""
+    c = _catalog(spark, sf_dir)
+    rows = c.where("import_seq % 12 IN (0, 1)").unionByName(c.where("import_seq % 24 = 0"))
+    return cat.removed(_twice(spark, sf_dir), rows).select("id", "import_seq")
+
+
+@query(f"WITH {BOOKS}, {_KEPT} SELECT id, '/data/Books/' || book_file AS book_path, '/data/Covers/' || cover_file AS cover_path FROM k")
+def book_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.located(_catalog(spark, sf_dir), "/data/").select("id", "book_path", "cover_path")
+
+
+@query(f"WITH {BOOKS}, {_KEPT} SELECT id, title, array_to_string(authors, '|') AS authors, canonical_id, import_seq FROM k WHERE import_seq % 3 = 0")
+def catalog_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog saved, saved again after books went, and read back from the version in force."""
+    c, path = _catalog(spark, sf_dir), fresh(spark, "catalog")
+    stores.persist(c, path)
+    stores.persist(stores.restore(spark, path, cat.BOOK).where("import_seq % 3 = 0"), path)
+    return stores.restore(spark, path, cat.BOOK).select("id", "title", F.array_join("authors", "|").alias("authors"), "canonical_id", "import_seq")
+
+
+@query("SELECT 'file-' || (n_nationkey % 7) || '.txt' AS file, CASE WHEN n_nationkey % 7 < 5 THEN 'text ' || (n_nationkey % 7) || chr(10) || 'second line' ELSE '' END AS text FROM nation")
+def bundled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundled files read whole; a name without a file gives an empty text."""
+    folder = fresh(spark, "bundle")
+    files = spark.range(5).select(F.concat(F.lit("file-"), "id", F.lit(".txt")).alias("name"), F.concat(F.lit("text "), "id", F.lit("\nsecond line")).cast("binary").alias("content"))
+    stores.copy_files(files, folder)
+    names = table(spark, sf_dir, "nation").select(F.concat(F.lit("file-"), F.col("n_nationkey") % 7, F.lit(".txt")).alias("file"))
+    return stores.text_or_empty(names, stores.bundled(spark, folder))
+
+
+@query("SELECT 'n' || n_nationkey || '.epub' AS file, CASE WHEN n_nationkey < 5 THEN 'old ' ELSE 'new ' END || n_nationkey AS content FROM nation")
+def copies_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files copied where none of that name is there: those that are stay."""
+    folder, n = fresh(spark, "books"), F.col("n_nationkey")
+    files = lambda what, of: of.select(F.concat(F.lit("n"), n, F.lit(".epub")).alias("name"), F.concat(F.lit(what), n).cast("binary").alias("content"))
+    stores.copy_files(files("old ", table(spark, sf_dir, "nation").where("n_nationkey < 5")), folder)
+    stores.copy_files(files("new ", table(spark, sf_dir, "nation")), folder)
+    return stores.bundled(spark, folder).select("file", F.col("text").alias("content"))
+
+
 @query(f"WITH {BOOKS}, {_KEPT} SELECT id, coalesce(title, 'Untitled') AS title, CASE WHEN len(authors) = 0 THEN 'Unknown author' ELSE array_to_string(authors, ', ') END AS authors, import_seq FROM k ORDER BY import_seq DESC")
 def book_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The library, newest first."""
@@ -137,6 +197,13 @@ def settings_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.enum_rows(spark)
 
 
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'system' ELSE 'custom' END AS interaction_mode, CASE WHEN event_id % 2 = 0 THEN 'quick' ELSE 'full' END AS prompt_style FROM events")
+def settings_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    mode, style = F.when(i % 3 == 0, "custom").when(i % 3 == 1, "system"), F.when(i % 2 == 0, "full").otherwise("quick")
+    return table(spark, sf_dir, "events").select("event_id", cat.toggled(mode, "interaction_mode").alias("interaction_mode"), cat.toggled(style, "prompt_style").alias("prompt_style"))
+
+
 _TEXTS = ("'Permission is granted.'", "'The license file can''t be read.'", "'The license file is missing.'")
 
 
@@ -188,6 +255,12 @@ def epub_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("path", "title", F.array_join("authors", "|").alias("authors"), "canonical_id", F.octet_length("cover").cast("long").alias("cover_bytes"))
 
 
+@query("SELECT '/books/1.epub' AS path, n_name AS title FROM nation WHERE n_nationkey = 1")
+def epub_picked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one file that an import takes of several."""
+    return epub.metadata(epub.picked(_epubs(spark, sf_dir).where("path <> '/books/0.epub'"))).select("path", "title")
+
+
 @query("WITH n AS (SELECT *, unnest(range(0, n_nationkey % 4 + 1)) AS i FROM nation WHERE n_nationkey % 5 <> 0) SELECT '/books/' || n_nationkey || '.epub' AS path, i AS spine_no, 'c' || i || '.xhtml' AS href, n_name || ' ' || i || 'Text <' || i || '> of ' || n_name || '.' AS text FROM n")
 def epub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexora.operators.extract import decoded

@@ -9,7 +9,8 @@ from lexora import fixtures
 from lexora.constants import SAVE_SECONDS, TAP_SECONDS
 from lexora.operators import events as ev
 from lexora.plans.registry import longs, query, table
-from lexora.shared import fresh
+from lexora.shared import cut, fresh
+from lexora.sources import stores
 from lexora.streaming import stateful
 
 HOURS = 12
@@ -74,6 +75,41 @@ def distinct_until_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.changed(_events(spark, sf_dir), "user_id", "event_type").select("user_id", "event_id", "event_type")
 
 
+_HITS = f"""WITH {EV}, h AS (SELECT user_id, event_id, us, CASE WHEN event_type = 'signup' THEN NULL WHEN event_type = 'error' THEN '' ELSE word END AS hit FROM evw WHERE event_type <> 'purchase'),
+l AS (SELECT *, lag(hit) OVER (PARTITION BY user_id ORDER BY us, event_id) AS before FROM h)
+SELECT user_id, event_id, us, hit FROM l WHERE coalesce(hit, '') <> '' AND (coalesce(before, '') = '' OR before <> hit)"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases aren't hits, errors are empty ones, signups clear."""
+    word, _ = _word()
+    e = _events(spark, sf_dir).where("event_type <> 'purchase'")
+    return ev.hits(e, "user_id", F.when(F.col("event_type") == "error", "").otherwise(word), F.col("event_type") == "signup").select("user_id", "event_id", "us", "hit")
+
+
+@query(f"SELECT user_id, event_id, hit FROM ({_HITS})")
+def hits_until_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits that differ from the one in force; after an empty hit or a clear the same one counts anew."""
+    return _hits(spark, sf_dir).select("user_id", "event_id", "hit")
+
+
+@query(f"SELECT user_id, event_id, us, hit FROM ({_HITS})")
+def hits_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits handed on batch by batch to a receiver, which keeps each under its number."""
+    base = fresh(spark, "published")
+    cut(_hits(spark, sf_dir), "hits").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("user_id long, event_id long, us long, hit string").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    stores.published(stream, lambda rows, number: rows.write.mode("overwrite").parquet(f"{base}/out/batch={number}"), f"{base}/state")
+    return spark.read.schema("user_id long, event_id long, us long, hit string").parquet(f"{base}/out").select("user_id", "event_id", "us", "hit")
+
+
+@query(f"WITH {EV} SELECT user_id, arg_max(word, struct_pack(us, event_id)) AS run FROM evw WHERE event_type IN ('view', 'click') GROUP BY user_id")
+def last_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run that each user last touched, by views and clicks."""
+    word, _ = _word()
+    return ev.last_runs(_events(spark, sf_dir), "user_id", F.when(F.col("event_type").isin("view", "click"), word)).select("user_id", "run")
+
+
 def _tap_sql(seconds: float) -> str:
     return f"""WITH {EV}, p AS (SELECT user_id, event_id, us, event_type, max(CASE WHEN event_type = 'view' THEN us END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS press_us FROM ev WHERE event_type IN ('view', 'purchase')),
 t AS (SELECT *, row_number() OVER (PARTITION BY user_id, press_us ORDER BY us, event_id) AS nth FROM p WHERE event_type = 'purchase')
@@ -204,3 +240,11 @@ def tap_suppression_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "press").when(F.col("event_type") == "purchase", "tap")
     rows = _stream(spark, sf_dir).select("user_id", "us", "event_id", kind.alias("kind")).where("kind IS NOT NULL")
     return stateful.drained(stateful.taps(rows, "user_id", 2 * 3600), *_folders(spark, "taps"))
+
+
+@query(f"""WITH k AS ({_throttle_sql(HOURS * 3600)}) SELECT user_id, max(us) AS us, arg_max(event_id, us) AS event_id FROM k GROUP BY user_id""")
+def saved_locations_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Throttled locations kept in a store, the last of each user, as they come."""
+    kept = stateful.throttled(_stream(spark, sf_dir).select("user_id", "us", "event_id"), "user_id", HOURS * 3600)
+    base = fresh(spark, "locations")
+    return stores.upserted(kept, f"{base}/store", "user_id", ["us", "event_id"], f"{base}/state")

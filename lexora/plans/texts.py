@@ -190,6 +190,13 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(extract.blocks(table(spark, sf_dir, "pages")), "block_no")
 
 
+@query(f"WITH {_B} SELECT page_id, block_no, {_T} AS text FROM b WHERE {_T} <> ''")
+def page_blocks_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of pages that came in twice: each is processed once."""
+    pages = table(spark, sf_dir, "pages")
+    return longs(extract.once(extract.blocks(pages.unionByName(pages)), ["page_id", "block_no"]), "block_no")
+
+
 # ---- places
 
 _PLACED = """

@@ -11,6 +11,7 @@ import posixpath
 import urllib.parse
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,6 +27,11 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", True).load(folder).select("path", "content")
 
 
+def picked(of: DataFrame) -> DataFrame:
+    """The one file that an import takes: the first by path."""
+    return of.orderBy("path").limit(1)
+
+
 class _Book:
     def __init__(self, content: bytes):
         self.zip = zipfile.ZipFile(io.BytesIO(content))
@@ -84,7 +90,7 @@ class _Book:
             yield from points(of, None)
 
 
-_BROKEN = (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, AttributeError)
+_BROKEN = (zipfile.BadZipFile, zlib.error, ET.ParseError, KeyError, ValueError, AttributeError, RuntimeError, NotImplementedError, EOFError)
 
 
 def _rows(of: DataFrame, schema: str, columns: list[str], read: Callable[[_Book], list[tuple]], broken: list[tuple]) -> DataFrame:

@@ -148,7 +148,7 @@ def test_stores(spark, tmp_path):
     at = f"file://{tmp_path}/places"
     for batch in ([("a", 1, "x"), ("b", 1, "y")], [("a", 3, "z"), ("b", 0, "w")]):
         stores.upsert_latest(spark.createDataFrame(batch, "key string, us long, place string"), at, "key", ["us"])
-    assert sorted(tuple(r) for r in spark.read.schema("key string, us long, place string").json(at).collect()) == [("a", 3, "z"), ("b", 1, "y")]
+    assert sorted(tuple(r) for r in stores.restore(spark, at, "key string, us long, place string").collect()) == [("a", 3, "z"), ("b", 1, "y")]
     (tmp_path / "lines.txt").write_text("# note\n樁 桩 [zhuang1] /stake; post/\nbad\n", encoding="utf-8")
     assert [tuple(r)[1:] for r in stores.dictionary_text(spark, f"file://{tmp_path}/lines.txt").collect()] == [("樁", "桩", "zhuang1", "/stake; post/")]
     (tmp_path / "res").mkdir()
@@ -183,7 +183,31 @@ def test_fixture_entries_are_parsed(spark):
 
 def test_plans_are_pushed_down(spark, sf_dir):
     plan = segment.edges(*__import__("lexora.plans.texts", fromlist=["_latin"])._latin(spark, sf_dir))._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan and "BatchEvalPython" not in plan and "CartesianProduct" not in plan
+    assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan and "BroadcastHashJoin" in plan
+    placed = extract.placed_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], "latin")._jdf.queryExecution().toString()
+    assert "Window" not in placed and "Exchange" not in placed and "ReadSchema: struct<doc_id:bigint,text:string>" in placed
+
+
+def test_references(spark):
+    pairs = [("&lt;b&gt; &amp;amp; &eacute;&#233;&#xE9;&#x1F389;", "<b> &amp; \u00e9\u00e9\u00e9\U0001f389"), ("&nosuch; &; &#; & &amp", "&nosuch; &; &#; & &amp"), ("&#0;&#xD800;&#99999999999;", "\ufffd" * 3), ("", ""), ("plain", "plain"), ("&NotEqualTilde;x", "\u2242\u0338x"), (None, None)]
+    got = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "i int, s string").select("i", extract.decoded(F.col("s")).alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: b for i, (_, b) in enumerate(pairs)}
+
+
+def test_a_half_written_version_is_not_in_force(spark, tmp_path):
+    from lexora.sources import stores
+
+    path = f"file://{tmp_path}/store"
+    rows = lambda *x: spark.createDataFrame(list(x), "key string, us long, place string")
+    stores.upsert_latest(rows(("a", 1, "p"), ("b", 1, "q")), path, "key", ["us"])
+    (tmp_path / "store/version=1").mkdir()
+    (tmp_path / "store/version=1/part-0.json").write_text('{"key": "x"')  # a crash before the commit
+    read = lambda: sorted(tuple(r) for r in stores.restore(spark, path, "key string, us long, place string").collect())
+    assert read() == [("a", 1, "p"), ("b", 1, "q")]
+    for _ in range(2):  # the batch comes again
+        stores.upsert_latest(rows(("a", 2, "r")), path, "key", ["us"])
+        assert read() == [("a", 2, "r"), ("b", 1, "q")]
+    assert len(list((tmp_path / "store").glob("version=*"))) == 2
 
 
 def test_covers_are_written(spark, tmp_path):
