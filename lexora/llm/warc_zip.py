@@ -1,17 +1,22 @@
 """WARC records in ZIP archives: written in place, read by ranges.
 
-An archive is a ZIP file of stored (method 0) members: one of records, each a
-gzip member of its own, and an index with a line of offset and length for each
-record.  A reader parses the end-of-directory records (ZIP64 ones included),
-the central directory and the members' local headers, reads the index, and
-then fetches each record by a range of bytes; no member is extracted.
+An archive is a ZIP file of stored (method 0) members: WARC files, each record a
+gzip member of its own, below archive/, and indexes below indexes/, with a line
+for each record that ends in a JSON object of file name, offset and length.  A
+reader parses the end-of-directory records (ZIP64 ones included), the central
+directory and the members' local headers, reads the indexes, and then fetches
+each record by a range of bytes; no member is extracted.  Archives of others are
+read alike: indexes may be compressed, or absent, in which case a WARC file's
+records are found one after the other.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
+import re
 import struct
 import urllib.parse
 import uuid
@@ -27,7 +32,11 @@ from pyspark.sql import functions as F
 from lexora.llm.common import attach, cut
 from lexora.shared import fresh
 
-RECORDS, INDEX = "archive/records.warc.gz", "indexes/records.jsonl"
+RECORDS, INDEX = "archive/records.warc.gz", "indexes/index.cdxj"
+#: A field of ours: the target is percent-encoded as a whole, as it can't stand in a header.
+ESCAPED = "X-Target-URI-Escaped"
+#: Bytes read at once where no index tells a record's length.
+STEP = 1 << 16
 #: Bytes of records after which a task starts another archive.
 ROLL = 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -168,41 +177,51 @@ def record(row: dict) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["payload_bytes"]
     block = http + row["payload"] if row["type"] == "response" else http
     head = ["WARC/1.1", f"WARC-Type: {row['type']}", f"WARC-Record-ID: <urn:page:{_named(row['page_id'])}>", "WARC-Date: 1970-01-01T00:00:00Z"]
-    if row["url"] is not None:
-        head.append("WARC-Target-URI: " + urllib.parse.quote(row["url"], safe="!#$%&'()*+,/:;=?@[]~"))
+    url = row["url"]
+    if url is not None:
+        plain = not _UNSAFE.search(url) and url == url.strip()
+        head += [f"WARC-Target-URI: {url}"] if plain else [f"WARC-Target-URI: {urllib.parse.quote(url, safe='')}", f"{ESCAPED}: 1"]
     head += [f"WARC-Payload-Digest: sha1:{row['payload_digest']}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if row["type"] == "revisit":
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{_named(row['refers_to'])}>"]
     z = zlib.compressobj(1, wbits=31)
-    return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
+    return z.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
+
+
+_UNSAFE = re.compile(r"[\x00-\x1f\x7f-\x9f\u2028\u2029]")
 
 
 def _named(page_id: int | None) -> str:
     return "null" if page_id is None else str(page_id)
 
 
-def _number(urn: str) -> int | None:
-    name = urn.removeprefix("<urn:page:").removesuffix(">")
-    return None if name == "null" else int(name)
+def _number(urn: str | None) -> int | None:
+    """The page_id of a record's name; null for the names that others give."""
+    name = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(name) if re.fullmatch(r"-?\d{1,19}", name) else None
 
 
-def parse(data: bytes) -> dict:
-    """A record's fields; a response's payload is held against its digest and length."""
-    raw = zlib.decompress(data, wbits=31)
+def parse(data: bytes) -> dict | None:
+    """A response's or revisit's fields, None for records of other types; a payload is held against its digest and length where these are given."""
+    raw = zlib.decompress(data, wbits=31) if data[:2] == b"\x1f\x8b" else data
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-    if not lines[0].startswith("WARC/") or len(rest) < (n := int(fields["content-length"])):
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    if not lines[0].startswith("WARC/") or len(rest) < (n := int(fields.get("content-length", -1))) or n < 0:
         raise BadArchive("bad record")
+    kind = fields.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return None
     http, _, payload = rest[:n].partition(b"\r\n\r\n")
-    size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    kind, named = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response" and (len(payload) != size or digest(payload) != named):
-        raise BadArchive("payload and digest differ")
+    named = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
+    if kind == "response" and (len(payload) != size or named and len(named) == 32 and digest(payload) != named):
+        raise BadArchive("payload and its length or digest differ")
+    url = fields.get("warc-target-uri")
     return {
-        "page_id": _number(fields["warc-record-id"]), "url": urllib.parse.unquote(fields["warc-target-uri"]) if "warc-target-uri" in fields else None,
-        "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": named, "record_type": kind,
-        "refers_to": _number(fields["warc-refers-to"]) if kind == "revisit" else None,
+        "page_id": _number(fields.get("warc-record-id")), "url": urllib.parse.unquote(url) if url is not None and ESCAPED.lower() in fields else url,
+        "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": named or (digest(payload) if kind == "response" else None), "record_type": kind,
+        "refers_to": _number(fields.get("warc-refers-to")) if kind == "revisit" else None,
     }
 
 
@@ -210,6 +229,9 @@ def parse(data: bytes) -> dict:
 
 
 def _opened(where: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a path as Spark names it."""
+    for spark_name, arrow_name in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        where = where.replace(spark_name, arrow_name, 1) if where.startswith(spark_name) else where
     return pafs.FileSystem.from_uri(where)
 
 
@@ -240,7 +262,7 @@ def write(pages: DataFrame, where: str | None = None, least: int = 0, salts: int
         def finish() -> None:
             zf.end()
             zf.begin(INDEX)
-            zf.write("".join(json.dumps({"offset": o, "length": n}) + "\n" for o, n in index).encode())
+            zf.write("".join(f"page:{k} 19700101000000 {json.dumps({'filename': RECORDS.split('/')[-1], 'offset': str(o), 'length': str(n)})}\n" for k, o, n in index).encode())
             zf.end()
             zf.close()
             done.append((f"{folder}/{name}", len(index)))
@@ -252,7 +274,7 @@ def write(pages: DataFrame, where: str | None = None, least: int = 0, salts: int
                     zf = ZipWriter(fs.open_output_stream(f"{base}/{name}"))
                     zf.begin(RECORDS)
                 row["payload_digest"] = base64.b32encode(row["sha"]).decode()
-                index.append(zf.write(record(row)))
+                index.append((_named(row["page_id"]), *zf.write(record(row))))
                 if zf.at >= roll:
                     finish()
                     zf = None
@@ -264,15 +286,57 @@ def write(pages: DataFrame, where: str | None = None, least: int = 0, salts: int
     return cut(typed.mapInArrow(run, "path string, records long"), "warc-manifest")
 
 
+def _entries(f: pa.NativeFile, of: dict[str, Member]) -> Iterator[tuple[str, int, int]]:
+    """Member, offset and length of each record that the indexes name."""
+    files = {m.split("/")[-1]: m for m in of if _is_warc(m)}
+    for name, m in sorted(of.items()):
+        if not re.fullmatch(r"indexes/.*\.(cdxj?|jsonl)(\.gz)?", name):
+            continue
+        data = _exactly(f, data_at(f, m), m.size)
+        if name.endswith(".gz"):
+            data = gzip.decompress(data)
+        for line in data.splitlines():
+            entry = json.loads(line[line.find(b"{") :]) if b"{" in line else {}
+            if "offset" in entry and "length" in entry:
+                member = files.get(str(entry.get("filename", "")).split("/")[-1]) or (next(iter(files.values())) if len(files) == 1 else None)
+                if member is None:
+                    raise BadArchive(f"no WARC file {entry.get('filename')}")
+                yield member, int(entry["offset"]), int(entry["length"])
+
+
+def _is_warc(name: str) -> bool:
+    return bool(re.search(r"\.warc(\.gz)?$", name))
+
+
+def _walked(f: pa.NativeFile, m: Member) -> Iterator[bytes]:
+    """The records of a WARC file of gzip members, one after the other, without an index."""
+    at, end = data_at(f, m), data_at(f, m) + m.size
+    while at < end:
+        z, parts, read = zlib.decompressobj(wbits=31), [], at
+        while not z.eof:
+            if read >= end:
+                raise BadArchive("a record ends early")
+            step = _exactly(f, read, min(STEP, end - read))
+            parts.append(z.decompress(step))
+            read += len(step)
+        at = read - len(z.unused_data)
+        yield b"".join(parts)
+
+
 def ranged(path: str) -> Iterable[dict]:
-    """The records of an archive, each by one range of bytes."""
+    """The responses and revisits of an archive, each by one range of bytes."""
     fs, name = _opened(path)
     with fs.open_input_file(name) as f:
         of = members(f)
-        at, index = data_at(f, of[RECORDS]), of[INDEX]
-        for line in _exactly(f, data_at(f, index), index.size).splitlines():
-            entry = json.loads(line)
-            yield parse(_exactly(f, at + entry["offset"], entry["length"]))
+        places: dict[str, int] = {}
+        for member, offset, length in _entries(f, of):
+            if member not in places:
+                places[member] = data_at(f, of[member])
+            if (r := parse(_exactly(f, places[member] + offset, length))) is not None:
+                yield r
+        if not places:
+            for member in filter(_is_warc, sorted(of)):
+                yield from filter(None, map(parse, _walked(f, of[member])))
 
 
 FIELDS = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
