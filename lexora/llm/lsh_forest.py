@@ -296,8 +296,9 @@ def _compared(sets: list[np.ndarray], block: np.ndarray, weight: np.ndarray, lea
     owner, column = owner[shared], (np.cumsum(count > 1) - 1)[inverse[shared]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    both, width = np.zeros((n, n), np.float32), max(64, (1 << 22) // n)
-    for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    both, width = np.zeros((n, n), np.float32), min(columns, max(64, (1 << 22) // n))
+    for k in range(0, columns, width or 1):
         i, j = np.searchsorted(column, (k, k + width))
         part = np.zeros((n, width), np.float32)
         part[owner[i:j], column[i:j] - k] = 1
