@@ -33,4 +33,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs start there, whichever executors are lost."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete tables of cut() that nothing will read again, as what was made from them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
