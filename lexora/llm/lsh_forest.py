@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lexora.llm.common import attach, cut
 from lexora.llm.components import components
+from lexora.shared import spent
 
 TREES, DEPTH = 16, 6
 #: Words of an n-gram, the least similarity of a link, and the share of links that must be found.
@@ -426,7 +427,8 @@ def classes(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -> Cl
     tries = cut(trie(texts, shortest), "trie")
     # a text alone at the edge of a task isn't a candidate
     shared = attach(tries.withColumn("_p", F.substring("label", 1, 4 * shortest)), ["tree", "_p"], F.col("key"), [F.count("*").alias("_n")], [F.sum("_n").alias("_n")])
-    tries = cut(shared.where("_n > 1").select("tree", "label", "key"), "candidates")
+    sorted_, tries = tries, cut(shared.where("_n > 1").select("tree", "label", "key"), "candidates")
+    spent(sorted_)
     texts = texts.drop("labels")
     sets = cut(held(docs, texts.join(tries.select("key").distinct(), "key", "left_semi")), "sets")
     roots = docs.sparkSession.createDataFrame([], "key long, root long")
@@ -434,6 +436,7 @@ def classes(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -> Cl
     for levels, trees in [(DEPTH, 1), *((d, TREES) for d in range(DEPTH, shortest - 1, -1))]:
         members = cut(nodes(tries, roots, levels, trees), "members")
         found = cut(verified(sets, members, least).where("similarity > 0").select("key", "first", "partner", "similarity"), "found")
+        spent(members)
         if found.limit(1).count():
             roots = cut(_merged(roots, found.where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))), "roots")
         links = links.union(found.select(F.least("key", "partner"), F.greatest("key", "partner"), F.round("similarity", 3))).distinct()
