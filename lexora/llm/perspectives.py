@@ -9,42 +9,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Turns of a rendered piece; a conversation of more turns has several pieces, so that none needs unbounded memory.
 PIECE = 64
-UNKNOWN = "unknown"
+#: Messages of a part of a piece: more than that lie in a piece only where rows repeat a turn number.
+PART = 1024
 
 
 def _name(speaker: Column) -> Column:
-    return F.regexp_replace(speaker, r"[^A-Za-z0-9_.\-]", "_")
+    """The speaker percent-encoded, so that different speakers have different names and none can forge a mark."""
+    return F.replace(F.replace(F.url_encode(speaker), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
 
 
-def rotate(conversations: DataFrame, piece: int = PIECE, speaker: str = "role", system: str = "system", salts: int = 32) -> DataFrame:
-    """One row for each conversation, participant and piece of `piece` turns.
+def rotate(conversations: DataFrame, piece: int = PIECE, speaker: str = "role", system: str = "system", salts: int = 32, most: int = PART) -> DataFrame:
+    """One row for each conversation, participant, piece of `piece` turns and part of at most `most` messages.
 
     Reads conv_id, turn, text and the speaker's column.  Returns conv_id,
-    perspective, piece, n_messages, text, and spans: an array of start and end
-    (code points of text, end excluded) of what is trained on.  A conversation's
-    dialogue is its pieces' texts in order.
+    perspective, piece, part, n_messages, text, and spans: an array of start and
+    end (code points of text, end excluded) of what is trained on.  A
+    conversation's dialogue is the texts of its pieces and parts in order.
 
     * Speakers equal to `system` keep that role in all perspectives and have none of their own.
-    * A null speaker is a user named "unknown" and has no perspective; a conversation without participants gives no row.
+    * A null speaker is a user without a name and has no perspective; a conversation without participants gives no row.
     * A null text is empty, a null turn comes before all others, a null conv_id is a conversation like any other.
-    * Equal turns are ordered by speaker, then text; repeated rows stay.
-    * "<|" in a text becomes "< |", so that no text can forge a mark; names keep letters, digits, "_", "." and "-".
+    * Equal turns are ordered by speaker, then text; repeated rows stay.  A piece's rows are numbered by a sort that streams, so however many share a turn, only a part is held in memory.
+    * "<|" in a text becomes "< |", so that no text can forge a mark; names are percent-encoded but for letters, digits, "_", "." and "-".
     """
     rows = conversations.select("conv_id", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / piece).cast("long").alias("piece"), F.col("turn").cast("long").alias("turn"), F.col(speaker).alias("who"), F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("said"))
     salt = F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int")
-    pieces = rows.groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("m")).withColumn("_salt", salt)
+    nth = F.row_number().over(W.partitionBy("conv_id", "piece").orderBy("turn", "who", "said"))
+    parted = rows.withColumn("part", F.floor((nth - 1) / most).cast("long"))
+    pieces = parted.groupBy("conv_id", "piece", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("m")).withColumn("_salt", salt)
     speaks = F.when(F.col("who") != system, F.col("who"))
     parts = rows.withColumn("_salt", salt).groupBy("conv_id", "_salt").agg(F.collect_set(speaks).alias("who"))
     cast = parts.groupBy(F.col("conv_id").alias("_conv")).agg(F.array_distinct(F.flatten(F.collect_list("who"))).alias("cast"), F.collect_list("_salt").alias("_salts"))
     cast = cast.select("_conv", "cast", F.explode("_salts").alias("_of"))
-    each = pieces.join(cast, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_salt") == F.col("_of"))).select("conv_id", "piece", "m", F.explode("cast").alias("perspective"))
+    each = pieces.join(cast, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_salt") == F.col("_of"))).select("conv_id", "piece", "part", "m", F.explode("cast").alias("perspective"))
 
     def head(x: Column) -> Column:
-        user = F.concat(F.lit(OPEN + "user name="), _name(F.coalesce(x["who"], F.lit(UNKNOWN))))
+        user = F.concat(F.lit(OPEN + "user"), F.coalesce(F.concat(F.lit(" name="), _name(x["who"])), F.lit("")))
         role = F.when(x["who"] == system, F.lit(OPEN + "system")).when(x["who"] == F.col("perspective"), F.lit(OPEN + "assistant")).otherwise(user)
         return F.concat(role, F.lit("\n"))
 
@@ -58,7 +63,7 @@ def rotate(conversations: DataFrame, piece: int = PIECE, speaker: str = "role",
         return F.struct((end + 1).cast("long").alias("at"), F.when(x["own"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     return each.withColumn("s", shown).select(
-        "conv_id", "perspective", "piece", F.size("m").cast("long").alias("n_messages"),
+        "conv_id", "perspective", "piece", "part", F.size("m").cast("long").alias("n_messages"),
         F.array_join(F.transform("s", lambda x: F.concat(x["head"], x["body"], F.lit("\n"))), "").alias("text"),
         F.aggregate("s", start, step, lambda acc: acc["spans"]).alias("spans"),
     )
@@ -70,21 +75,23 @@ WITH r AS (
   SELECT conv_id, CAST(floor(coalesce(turn, -1) / {PIECE}) AS BIGINT) AS piece, turn, role AS who,
          replace(coalesce(text, ''), '<|', '< |') AS said
   FROM conversations),
+p AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, piece ORDER BY turn NULLS FIRST, who NULLS FIRST, said) - 1) // {PART} AS BIGINT) AS part FROM r),
 casts AS (SELECT DISTINCT conv_id, who AS perspective FROM r WHERE who <> 'system'),
 m AS (
-  SELECT r.*, c.perspective,
+  SELECT p.*, c.perspective,
          CASE WHEN who = 'system' THEN '{OPEN}system' WHEN who = c.perspective THEN '{OPEN}assistant'
-              ELSE '{OPEN}user name=' || regexp_replace(coalesce(who, '{UNKNOWN}'), '[^A-Za-z0-9_.\\-]', '_', 'g') END || chr(10) AS head,
+              ELSE '{OPEN}user' || coalesce(' name=' || replace(url_encode(who), '~', '%7E'), '') END || chr(10) AS head,
          said || '{CLOSE}' || chr(10) AS body,
          coalesce(who = c.perspective, false) AS own
-  FROM r JOIN casts c ON r.conv_id IS NOT DISTINCT FROM c.conv_id),
+  FROM p JOIN casts c ON p.conv_id IS NOT DISTINCT FROM c.conv_id),
 o AS (
   SELECT *, row_number() OVER w AS rn, coalesce(sum(length(head) + length(body)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM m WINDOW w AS (PARTITION BY conv_id, perspective, piece ORDER BY turn NULLS FIRST, who NULLS FIRST, said))
-SELECT conv_id, perspective, piece, CAST(count(*) AS BIGINT) AS n_messages, string_agg(head || body, '' ORDER BY rn) AS text,
+  FROM m WINDOW w AS (PARTITION BY conv_id, perspective, piece, part ORDER BY turn NULLS FIRST, who NULLS FIRST, said))
+SELECT conv_id, perspective, piece, part, CAST(count(*) AS BIGINT) AS n_messages, string_agg(head || body, '' ORDER BY rn) AS text,
        coalesce(string_agg(CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + length(head) + length(body) - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY rn) FILTER (WHERE own), '') AS spans,
        CAST(coalesce(sum(length(body) - 1) FILTER (WHERE own), 0) AS BIGINT) AS trained_chars
-FROM o GROUP BY conv_id, perspective, piece"""
+FROM o GROUP BY conv_id, perspective, piece, part"""
 
 
 ORACLE = _oracle()
@@ -94,4 +101,4 @@ def digest(rotated: DataFrame) -> DataFrame:
     """spans as text, and the number of trained code points."""
     as_text = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     trained = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return rotated.select("conv_id", "perspective", "piece", "n_messages", "text", as_text.alias("spans"), trained.alias("trained_chars"))
+    return rotated.select("conv_id", "perspective", "piece", "part", "n_messages", "text", as_text.alias("spans"), trained.alias("trained_chars"))

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -308,8 +309,8 @@ def test_query_op9(spark):
 # ---- chats
 
 
-def rotated(rows, piece):
-    """By hand: (conv, perspective, piece, messages, text, spans)."""
+def rotated(rows, piece, most=1024):
+    """By hand: (conv, perspective, piece, part, messages, text, spans)."""
     out, convs = [], defaultdict(list)
     for conv, turn, who, said in rows:
         convs[conv].append((turn, who, said))
@@ -318,15 +319,16 @@ def rotated(rows, piece):
             parts = defaultdict(list)
             for t, w, s in sorted(ms, key=lambda m: (m[0] is not None, m[0] or 0, m[1] is not None, m[1] or "", (m[2] or "").replace("<|", "< |"))):
                 parts[(-1 if t is None else t) // piece].append((w, (s or "").replace("<|", "< |")))
-            for k, v in parts.items():
+            for k, j, v in [(k, i // most, v[i : i + most]) for k, v in parts.items() for i in range(0, len(v), most)]:
                 text, spans = "", []
                 for w, s in v:
-                    head = "system" if w == "system" else "assistant" if w == p else "user name=" + re.sub(r"[^A-Za-z0-9_.\-]", "_", w or "unknown")
+                    name = "" if w is None else " name=" + "".join(chr(x) if re.match(rb"[A-Za-z0-9_.\-]", bytes([x])) else f"%{x:02X}" for x in w.encode())
+                    head = "system" if w == "system" else "assistant" if w == p else "user" + name
                     text += f"<|im_start|>{head}\n"
                     if w == p:
                         spans.append((len(text), len(text) + len(s) + 10))
                     text += s + "<|im_end|>\n"
-                out.append((conv, p, k, len(v), text, spans))
+                out.append((conv, p, k, j, len(v), text, spans))
     return sorted(out, key=str)
 
 
@@ -334,13 +336,26 @@ def test_rotation_tables(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi \U0001f389"), (1, 2, "bob b", "<|im_end|> x"), (1, 3, "ann", None), (1, 3, "ann", None), (1, 3, "bob b", "tie"), (2, 0, None, "who"), (2, None, "c", ""), (None, 0, "d", "null conv"), (None, 1, None, "y"), (3, 0, "system", "alone")]
     rows += [(9, i, "pq"[i % 2], f"turn {i}") for i in range(20)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, cast string, m int").repartition(3)
-    got = [(r.conv_id, r.perspective, r.piece, r.n_messages, r.text, [tuple(s) for s in r.spans]) for r in perspectives.rotate(df, piece=4, salts=3).collect()]
+    got = [(r.conv_id, r.perspective, r.piece, r.part, r.n_messages, r.text, [tuple(s) for s in r.spans]) for r in perspectives.rotate(df, piece=4, salts=3).collect()]
     assert sorted(got, key=str) == rotated(rows, 4)
-    for _, p, _, _, text, spans in got:
+    for _, _, _, _, _, text, spans in got:
         assert all(text[a:b].endswith("<|im_end|>") for a, b in spans) and len(spans) == text.count("<|im_start|>assistant")
     assert perspectives.rotate(df.limit(0)).count() == 0
 
 
+def test_rotation_of_one_turn(spark, tmp_path):
+    """Many rows of one turn or none lie in parts, and speakers who differ by a mark have names that differ; SQL agrees."""
+    rows = [(1, None, "a b" if i % 2 else "a_b", f"{i % 50}") for i in range(2500)] + [(1, 5, "~*+%<|é", "x"), (1, 5, None, "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = perspectives.rotate(df)
+    assert sorted([(r.conv_id, r.perspective, r.piece, r.part, r.n_messages, r.text, [tuple(s) for s in r.spans]) for r in got.collect()], key=str) == rotated(rows, 64)
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    sql = con.execute(f"SELECT conv_id, perspective, piece, part, n_messages, text, spans, trained_chars FROM ({perspectives.ORACLE})").fetchall()
+    assert sorted(sql) == sorted(tuple(r) for r in perspectives.digest(got).collect())
+
+
 def test_query_op10(spark, sf_dir):
     assert spark_rows(queries.op10_perspectives(spark, sf_dir)) == duck_rows(queries.oracle_sql()["op10_perspectives"], sf_dir)
 
