@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexora.operators import catalog as cat
 from lexora.plans.registry import longs, query, table
-from lexora.shared import fresh
+from lexora.shared import cut, fresh
 from lexora.sources import epub, stores
 
 BOOKS = """books AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS title,
@@ -147,6 +147,18 @@ def book_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.with_covers(_catalog(spark, sf_dir), files).select("id", "cover_file", F.md5("cover").alias("cover_md5"))
 
 
+@query(f"WITH {BOOKS}, {_KEPT} SELECT id, cover_file, CASE WHEN import_seq % 50 % 5 <> 0 THEN md5('cover ' || cover_file) END AS cover_md5, cover_file IS NOT NULL AND import_seq % 50 % 5 = 0 AS failed FROM k")
+def covers_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covers written as files and read back for their books; one that can't be written is reported and the others go on."""
+    c, folder = _catalog(spark, sf_dir), fresh(spark, "covers")
+    image = F.when(F.col("import_seq") % 50 % 5 != 0, F.concat(F.lit("cover "), "cover_file")).cast("binary")
+    covers = c.where("cover_file IS NOT NULL").select(F.col("cover_file").alias("name"), image.alias("content")).dropDuplicates(["name"])
+    failed = cut(stores.write_files(covers, folder).where("error IS NOT NULL"), "failed")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(folder)
+    there = cat.with_covers(c, files).join(failed.select(F.col("name").alias("_name")), F.col("cover_file") == F.col("_name"), "left")
+    return there.select("id", "cover_file", F.md5("cover").alias("cover_md5"), F.col("_name").isNotNull().alias("failed"))
+
+
 @query(f"WITH {BOOKS}, {_KEPT} SELECT id, title, array_to_string(authors, '|') AS authors, canonical_id, book_file, cover_file FROM k")
 def catalog_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books through their JSON form."""

@@ -14,6 +14,8 @@ from lexora.operators import dictionary as dic
 from lexora.operators import share
 from lexora.plans.registry import longs, query, table
 from lexora.plans.texts import han_docs
+from lexora.shared import fresh
+from lexora.sources import stores
 
 DICT = fixtures.dictionary_sql()
 COMPLETE = "trad IS NOT NULL AND simp IS NOT NULL AND pinyin IS NOT NULL AND senses_raw IS NOT NULL"
@@ -71,6 +73,16 @@ def dict_lookup_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.join(dic.forms(fixtures.dictionary(spark)).select("word"), "word", "left_anti")
 
 
+@query(f"WITH {DICT} SELECT trad, simp, pinyin, senses_raw FROM dict_raw WHERE {COMPLETE}")
+def dict_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary written as lines, among notes and broken lines, and read back."""
+    line = F.concat("trad", F.lit(" "), "simp", F.lit(" ["), "pinyin", F.lit("] "), "senses_raw").alias("value")
+    lines = dic.complete(fixtures.dictionary(spark)).select(line).union(spark.createDataFrame([("# a note [x1] /y/",), ("broken",), ("",)], "value string"))
+    path = fresh(spark, "dictionary")
+    lines.write.text(path)
+    return stores.dictionary_text(spark, path).select("trad", "simp", "pinyin", "senses_raw")
+
+
 @query(f"WITH {DICT} SELECT entry_id, trad, simp FROM dict_raw WHERE trad = '長' OR simp = '长' OR trad = '长' OR simp = '長'")
 def dict_parameter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lookup of one word, bound as a parameter, over either form; the forms are a key, so nothing is compared row by row."""

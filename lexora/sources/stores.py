@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,10 +79,12 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             out = []
             for name, content in zip(b["name"], b["content"], strict=True):
+                beside = f"{base}/.{name}.{uuid.uuid4().hex}"  # of this attempt alone
                 try:
-                    with store.open_output_stream(f"{base}/.{name}.new") as f:
-                        f.write(bytes(content))
-                    store.move(f"{base}/.{name}.new", f"{base}/{name}")
+                    data = bytes(content)
+                    with store.open_output_stream(beside) as f:
+                        f.write(data)
+                    store.move(beside, f"{base}/{name}")
                     out.append((name, None))
                 except (OSError, TypeError) as e:
                     out.append((name, str(e)))

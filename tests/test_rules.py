@@ -219,6 +219,21 @@ def test_covers_are_written(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "covers").glob("*.jpg")) == ["a.jpg", "c.jpg"] and (tmp_path / "covers/c.jpg").read_bytes() == b"three"
 
 
+def test_dictionary_of_a_database(spark, tmp_path):
+    from lexora.sources import stores
+
+    spark._jvm.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url = "jdbc:derby:memory:words;create=true"
+    rows = [("樁", "桩", "zhuang1", "/stake; post/"), ("長", "长", None, "/long/"), ("生", "生", "sheng1", "/raw/"), ("生", "生", "sheng1", "/raw/")]
+    made = spark._jvm.java.sql.DriverManager.getConnection(url).createStatement()
+    made.execute('CREATE TABLE entries ("trad" VARCHAR(100), "simp" VARCHAR(100), "pinyin" VARCHAR(100), "senses_raw" VARCHAR(1000))')
+    made.execute("INSERT INTO entries VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in rows))
+    got = stores.dictionary_jdbc(spark, url, "entries").collect()
+    assert sorted(tuple(r)[1:] for r in got if r.pinyin) == sorted(r for r in rows if r[2]) and len(got) == 4
+    assert len({r.entry_id for r in got}) == 3  # equal rows are one entry
+    assert [r.simp for r in stores.dictionary_jdbc(spark, url, '(SELECT * FROM entries WHERE "simp" IS NOT NULL) AS e').where("simp = '桩'").collect()] == ["桩"]
+
+
 def test_incoming(spark):
     m = spark.createDataFrame([("/x/b.epub", "B", ["Z"], "2", b"c"), ("/x/a.epub", None, [], None, None)], "path string, title string, authors array<string>, canonical_id string, cover binary")
     got = catalog.incoming(m, 5).orderBy("import_seq").collect()
