@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lexora.llm.common import cut
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Turns of a rendered piece; a conversation of more turns has several pieces, so that none needs unbounded memory.
 PIECE = 64
 #: Messages of a part of a piece: more than that lie in a piece only where rows repeat a turn number.
 PART = 1024
+#: Rows of a piece that one task numbers; a larger piece is numbered by all tasks.
+NUMBERED = 1 << 16
 
 
 def _name(speaker: Column) -> Column:
@@ -23,7 +27,33 @@ def _name(speaker: Column) -> Column:
     return F.replace(F.replace(F.url_encode(speaker), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
 
 
-def rotate(conversations: DataFrame, piece: int = PIECE, speaker: str = "role", system: str = "system", salts: int = 32, most: int = PART) -> DataFrame:
+def parted(rows: DataFrame, most: int, numbered: int = NUMBERED) -> DataFrame:
+    """rows (conv_id, piece, turn, who, said) with part, their place in the order of their piece by `most`.
+
+    Pieces of more than `numbered` rows, as where rows without end share a turn,
+    are sorted by ranges over all tasks; a row's place is its place in its range
+    plus the rows of the piece's ranges before.  Equal rows are told apart by
+    where they were read, so that they make no large range.
+    """
+    piece, order = ["conv_id", "piece"], ["turn", "who", "said"]
+    nth = lambda *of: F.row_number().over(W.partitionBy(*piece, *of).orderBy(*order))
+    part = lambda place: F.floor((place - 1) / most).cast("long")
+    named = lambda df, names: df.withColumnsRenamed({n: f"_{n}" for n in names})
+    same = lambda *names: [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+    large = named(cut(rows.groupBy(*piece).count().where(F.col("count") > numbered).select(*piece), "large"), piece)
+    if not large.limit(1).count():
+        return rows.withColumn("part", part(nth()))
+    small = rows.join(large, same(*piece), "left_anti").withColumn("part", part(nth()))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = rows.withColumn("_at", F.monotonically_increasing_id()).join(large, same(*piece), "left_semi")
+    ranged = cut(read.repartitionByRange(parts, *piece, *order, "_at").withColumn("range", F.spark_partition_id()).drop("_at"), "ranged")
+    sizes = ranged.groupBy(*piece, "range").count()
+    before = sizes.select(*piece, "range", F.coalesce(F.sum("count").over(W.partitionBy(*piece).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = ranged.join(named(before, [*piece, "range"]), same(*piece, "range")).withColumn("part", part(nth("range") + F.col("before")))
+    return small.unionByName(placed.select(*small.columns))
+
+
+def rotate(conversations: DataFrame, piece: int = PIECE, speaker: str = "role", system: str = "system", salts: int = 32, most: int = PART, numbered: int = NUMBERED) -> DataFrame:
     """One row for each conversation, participant, piece of `piece` turns and part of at most `most` messages.
 
     Reads conv_id, turn, text and the speaker's column.  Returns conv_id,
@@ -34,14 +64,12 @@ def rotate(conversations: DataFrame, piece: int = PIECE, speaker: str = "role",
     * Speakers equal to `system` keep that role in all perspectives and have none of their own.
     * A null speaker is a user without a name and has no perspective; a conversation without participants gives no row.
     * A null text is empty, a null turn comes before all others, a null conv_id is a conversation like any other.
-    * Equal turns are ordered by speaker, then text; repeated rows stay.  A piece's rows are numbered by a sort that streams, so however many share a turn, only a part is held in memory.
+    * Equal turns are ordered by speaker, then text; repeated rows stay.  However many rows share a turn, a part is all that is held in memory, and they are numbered by many tasks.
     * "<|" in a text becomes "< |", so that no text can forge a mark; names are percent-encoded but for letters, digits, "_", "." and "-".
     """
     rows = conversations.select("conv_id", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / piece).cast("long").alias("piece"), F.col("turn").cast("long").alias("turn"), F.col(speaker).alias("who"), F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("said"))
     salt = F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int")
-    nth = F.row_number().over(W.partitionBy("conv_id", "piece").orderBy("turn", "who", "said"))
-    parted = rows.withColumn("part", F.floor((nth - 1) / most).cast("long"))
-    pieces = parted.groupBy("conv_id", "piece", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("m")).withColumn("_salt", salt)
+    pieces = parted(rows, most, numbered).groupBy("conv_id", "piece", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("m")).withColumn("_salt", salt)
     speaks = F.when(F.col("who") != system, F.col("who"))
     parts = rows.withColumn("_salt", salt).groupBy("conv_id", "_salt").agg(F.collect_set(speaks).alias("who"))
     cast = parts.groupBy(F.col("conv_id").alias("_conv")).agg(F.array_distinct(F.flatten(F.collect_list("who"))).alias("cast"), F.collect_list("_salt").alias("_salts"))

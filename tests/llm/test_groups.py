@@ -356,6 +356,19 @@ def test_rotation_of_one_turn(spark, tmp_path):
     assert sorted(sql) == sorted(tuple(r) for r in perspectives.digest(got).collect())
 
 
+def test_rotation_of_pieces_that_many_tasks_number(spark):
+    """Pieces above the bound, of equal rows, of different ones of one turn and of null conversations, beside pieces below it."""
+    rows = [(1, None, "a", "same") for _ in range(300)] + [(1, 3, "ab"[i % 2], f"{i * 7 % 90}") for i in range(200)] + [(None, 9, "c", f"{i}") for i in range(150)]
+    rows += [(2, i % 9, "ab"[i % 2], None if i % 5 else "x") for i in range(40)] + [(1, 70, None, "late")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = perspectives.rotate(df, most=64, numbered=50)
+    plain = perspectives.rotate(df, most=64)
+    shown = lambda found: sorted([(r.conv_id, r.perspective, r.piece, r.part, r.n_messages, r.text, [tuple(s) for s in r.spans]) for r in found.collect()], key=str)
+    assert shown(got) == rotated(rows, 64, 64) == shown(plain)
+    split = perspectives.parted(df.selectExpr("conv_id", "0L AS piece", "turn", "role AS who", "text AS said"), 64, 50)
+    assert split.groupBy("conv_id", "piece", "part").count().agg({"count": "max"}).first()[0] == 64 and split.count() == len(rows)
+
+
 def test_query_op10(spark, sf_dir):
     assert spark_rows(queries.op10_perspectives(spark, sf_dir)) == duck_rows(queries.oracle_sql()["op10_perspectives"], sf_dir)
 
